@@ -140,9 +140,23 @@ STOP_WORDS = (
     "would"
 ).split()
 
+# Every match of a segment pattern holds one of these, so that most texts need no regular expression.
+SEGMENT_PATTERN_LITERALS = [
+    ["click"], ["verify"], ["password", "credit", "ssn", "bank"],
+    ["suspended", "locked", "disabled", "expired"],
+    ["winner", "prize", "reward", "gift", "free"], ["$", "money", "cash"],
+]
+
 # ------------------------------------------------- portable regular expressions
 # Spelled so that Java, RE2 and Python read them alike.
 WS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# The same characters as a string.
+WS_CHARS = "".join(
+    chr(n)
+    for first, last in [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+                        (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+    for n in range(first, last + 1)
+)
 URL_RE = rf"(?i)(https?://[^{WS}]+|www\.[^{WS}]+)"
 ADDRESS_RE = r"[\p{L}\p{N}_.-]+@([\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+)"
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"

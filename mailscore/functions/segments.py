@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailscore import constants as c
-from mailscore.functions.text import contained_words, portable, ws_trim
+from mailscore.functions.text import contained_words, contains_any, portable, ws_trim
 
 
 def split_segments(text: Column) -> Column:
@@ -19,20 +19,39 @@ def split_segments(text: Column) -> Column:
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
-def _facts(segment: Column, pos: Column) -> Column:
-    lowered = F.lower(segment)
-    may_link = F.contains(lowered, F.lit("://")) | F.contains(lowered, F.lit("www."))
-    links = F.when(may_link, F.regexp_count(segment, F.lit(c.URL_RE))).otherwise(F.lit(0))
-    matched = [
-        F.when(F.rlike(lowered, F.lit(portable(pattern))), F.lit(reason)) for pattern, reason in c.SEGMENT_PATTERNS
-    ]
-    return F.struct(
-        pos.alias("pos"),
-        segment.alias("segment"),
-        contained_words(lowered, c.URGENT_KEYWORDS).alias("keywords"),
-        links.alias("links"),
-        F.array_compact(F.array(*matched)).alias("patterns"),
-    )
+def clues(lowered: Column) -> dict[str, Column]:
+    """What a whole text holds: its keywords, whether it may hold links, which patterns may match.
+
+    A segment holds no more than its text, so segments are only searched for
+    what was found here.
+    """
+    found = {
+        "keywords": contained_words(lowered, c.URGENT_KEYWORDS),
+        "links": F.contains(lowered, F.lit("://")) | F.contains(lowered, F.lit("www.")),
+    }
+    for i, literals in enumerate(c.SEGMENT_PATTERN_LITERALS):
+        found[f"pattern{i}"] = contains_any(lowered, literals) == 1
+    return found
+
+
+def _facts(clue: dict[str, Column]):
+    def facts(s: Column) -> Column:
+        low = s["low"]
+        may_link = clue["links"] & (F.contains(low, F.lit("://")) | F.contains(low, F.lit("www.")))
+        links = F.when(may_link, F.regexp_count(s["segment"], F.lit(c.URL_RE))).otherwise(F.lit(0))
+        matched = []
+        for i, (pattern, reason) in enumerate(c.SEGMENT_PATTERNS):
+            may_match = clue[f"pattern{i}"] & (contains_any(low, c.SEGMENT_PATTERN_LITERALS[i]) == 1)
+            matched.append(F.when(may_match & F.rlike(low, F.lit(portable(pattern))), F.lit(reason)))
+        return F.struct(
+            s["pos"].alias("pos"),
+            s["segment"].alias("segment"),
+            F.filter(clue["keywords"], lambda k: F.contains(low, k)).alias("keywords"),
+            links.alias("links"),
+            F.array_compact(F.array(*matched)).alias("patterns"),
+        )
+
+    return facts
 
 
 def _risk(f: Column) -> Column:
@@ -53,9 +72,18 @@ def _reasons(f: Column) -> Column:
     return F.concat(F.array_compact(own), f["patterns"])
 
 
-def scored_segments(text: Column) -> Column:
-    """array<struct<neg_risk, pos, text, score, reasons>> of the segments worth showing, in text order."""
-    facts = F.transform(split_segments(text), _facts)
+def scored_segments(text: Column, clue: dict[str, Column]) -> Column:
+    """array<struct<neg_score, pos, text, score, reasons>> of the segments worth showing, in text order.
+
+    ``clue`` names the columns that hold the :func:`clues` of the text.
+    """
+    patterns = reduce(add, [clue[f"pattern{i}"].cast("int") for i in range(len(c.SEGMENT_PATTERNS))])
+    hopeless = (F.size(clue["keywords"]) == 0) & ~clue["links"] & (patterns < 2)
+    pieces = F.when(hopeless, F.array().cast("array<string>")).otherwise(split_segments(text))
+    segments = F.transform(
+        pieces, lambda s, i: F.struct(i.alias("pos"), s.alias("segment"), F.lower(s).alias("low"))
+    )
+    facts = F.transform(segments, _facts(clue))
     # only these can reach the keep score: a keyword, a link, or two patterns
     facts = F.filter(
         facts, lambda f: (F.size(f["keywords"]) > 0) | (f["links"] > 0) | (F.size(f["patterns"]) > 1)

@@ -18,7 +18,7 @@ def portable(pattern: str) -> str:
 
 def ws_trim(text: Column) -> Column:
     """Trim every kind of white space (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, rf"^[{c.WS}]+|[{c.WS}]+$", "")
+    return F.btrim(text, F.lit(c.WS_CHARS))
 
 
 def _replace_entities(text: Column) -> Column:
@@ -59,8 +59,8 @@ def strip_html(text: Column) -> Column:
 
 def collapse_ws(text: Column) -> Column:
     """NUL to blank, white-space runs to one blank, ends trimmed."""
-    blanked = F.replace(text, F.lit("\x00"), F.lit(" "))
-    return F.trim(F.regexp_replace(blanked, f"[{c.WS}]+", " "))
+    blanked = F.translate(text, "\x00" + c.WS_CHARS, " " * (1 + len(c.WS_CHARS)))
+    return F.trim(F.regexp_replace(blanked, " {2,}", " "))
 
 
 def normalize_text(text: Column) -> Column:
@@ -73,17 +73,21 @@ def join_subject(subject: Column, body: Column) -> Column:
 
 
 # --------------------------------------------------------------------- features
-def _may_hold_url(text: Column) -> Column:
-    return F.contains(text, F.lit("://")) | F.contains(F.lower(text), F.lit("www."))
+def urls(text: Column, lowered: Column | None = None) -> Column:
+    """All links of a text; the regular expression runs only where one can match."""
+    low = F.lower(text) if lowered is None else lowered
+    may_match = F.contains(low, F.lit("://")) | F.contains(low, F.lit("www."))
+    found = F.regexp_extract_all(text, F.lit(c.URL_RE), F.lit(0))
+    return F.when(may_match, found).otherwise(F.array().cast("array<string>"))
 
 
-def url_count(text: Column) -> Column:
-    counted = F.regexp_count(text, F.lit(c.URL_RE))
-    return F.when(_may_hold_url(text), counted).otherwise(F.lit(0)).cast("int")
+def url_count(found: Column) -> Column:
+    """Number of links, from :func:`urls`."""
+    return F.size(found)
 
 
-def has_url(text: Column) -> Column:
-    return (url_count(text) > 0).cast("int")
+def has_url(found: Column) -> Column:
+    return (F.size(found) > 0).cast("int")
 
 
 def exclamation_count(text: Column) -> Column:
@@ -138,13 +142,8 @@ def first_address(text: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def urls(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(c.URL_RE), F.lit(1))
-    return F.when(_may_hold_url(text), found).otherwise(F.array().cast("array<string>"))
-
-
-def link_domains(text: Column, fix_scheme_case: bool = False) -> Column:
-    """Distinct link domains in order of appearance.
+def link_domains(found: Column, fix_scheme_case: bool = False) -> Column:
+    """Distinct domains, in order of appearance, of the links from :func:`urls`.
 
     The scheme is matched in lower case only, so an upper-case scheme counts as
     the domain; ``fix_scheme_case`` reads such links as well.
@@ -154,8 +153,7 @@ def link_domains(text: Column, fix_scheme_case: bool = False) -> Column:
         cut = F.regexp_extract(F.lower(url) if fix_scheme_case else url, c.LINK_DOMAIN_RE, 1)
         return F.split_part(F.lower(cut), F.lit(":"), F.lit(1))
 
-    found = F.transform(urls(text), domain)
-    return F.array_distinct(F.filter(found, lambda d: d != ""))
+    return F.array_distinct(F.filter(F.transform(found, domain), lambda d: d != ""))
 
 
 def tokens(text: Column) -> Column:

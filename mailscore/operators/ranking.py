@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from mailscore.session import ensure_checkpoint_dir
+
 # Up to this many rows per group Spark cuts each group before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 
+# Narrow tables of up to this many rows may go to every executor.
+BROADCAST_ROWS = 500_000
+
 
 def sliced_row_number(
     df: DataFrame, keys: list[str], slice_column: Column, order: list[Column], slice_descending: bool, name: str
@@ -31,12 +36,30 @@ def sliced_row_number(
         .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
     return (
-        local.join(offsets, [*keys, "_slice"])
+        join_null_safe(local, offsets, [*keys, "_slice"])
         .withColumn(name, F.col("_local") + F.col("_before"))
         .drop("_slice", "_local", "_before")
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join in which null keys meet too, so that no row is lost."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table written out and counted; marked for broadcast only if it is small.
+
+    Without this a join with a table of unknown size starts to shuffle its other
+    side before the size is known.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "position") -> DataFrame:
     """The first ``k`` rows of every group; each task sends on at most ``k`` rows of a group."""
     if k > GROUP_LIMIT:

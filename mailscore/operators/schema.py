@@ -10,6 +10,7 @@ from mailscore import constants as c
 from mailscore.functions import text as tx
 
 _LABEL_TYPES = (T.NumericType, T.BooleanType)
+FEATURES = [*c.FEATURE_NUMERIC, "sender_domain"]
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
@@ -92,11 +93,17 @@ def auto_detect(df: DataFrame, text: str | None = None, label: str | None = None
     return text, label
 
 
-def feature_expressions(text: Column, lowered: Column) -> dict[str, Column]:
-    """The six features of a text; ``lowered`` is its lower-case form, computed once by the caller."""
+def with_shared(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``_lower`` and ``_urls``, which several features read, so that each is worked out once."""
+    return df.withColumn("_lower", F.lower(text)).withColumn("_urls", tx.urls(F.col(text), F.col("_lower")))
+
+
+def feature_expressions(text: Column) -> dict[str, Column]:
+    """The six features of a text, on rows that :func:`with_shared` has prepared."""
+    lowered = F.col("_lower")
     return {
         "has_attachment": tx.attachment_flag(lowered),
-        "links_count": tx.url_count(text),
+        "links_count": tx.url_count(F.col("_urls")),
         "urgent_keywords": tx.urgent_flag(lowered),
         "sender_domain": tx.sender_domain(text),
         "body_length": tx.char_count(text),
@@ -106,27 +113,30 @@ def feature_expressions(text: Column, lowered: Column) -> dict[str, Column]:
 
 def ensure_features(df: DataFrame, text: str = "body") -> DataFrame:
     """Adds each feature column that is missing; null features become 0 or ``unknown``."""
-    made = {
-        name: expression
-        for name, expression in feature_expressions(F.col(text), F.col("_lower")).items()
-        if name not in df.columns
-    }
-    df = df.withColumn("_lower", F.lower(text)).withColumns(made) if made else df
+    made = {n: expression for n, expression in feature_expressions(F.col(text)).items() if n not in df.columns}
+    df = with_shared(df, text).withColumns(made) if made else df
     settled = {n: F.coalesce(F.col(n).try_cast("int"), F.lit(0)) for n in c.FEATURE_NUMERIC}
     settled["sender_domain"] = F.coalesce(F.col("sender_domain").cast("string"), F.lit("unknown"))
-    return df.withColumns(settled).drop("_lower")
+    return df.withColumns(settled).drop("_lower", "_urls")
 
 
-def with_overrides(df: DataFrame, text: str, overrides: dict[str, str]) -> DataFrame:
+def with_overrides(prepared: DataFrame, text: str, overrides: dict[str, str]) -> DataFrame:
     """Features of the text, but a filled override column (feature → column) wins over extraction."""
-    df = df.withColumn("_lower", F.lower(text))
     features = {
         name: F.coalesce(F.col(overrides[name]), expression) if name in overrides else expression
-        for name, expression in feature_expressions(F.col(text), F.col("_lower")).items()
+        for name, expression in feature_expressions(F.col(text)).items()
     }
-    return df.withColumns(features).drop("_lower")
+    return prepared.withColumns(features)
 
 
 def required_rows(df: DataFrame, label: str, columns: list[str] | None = None) -> DataFrame:
-    """Label and features only, rows with any null dropped."""
-    return df.select(label, *(columns or c.FEATURE_COLUMNS)).dropna()
+    """Label and features only, rows with any null dropped.
+
+    Only columns that can be null are tested, as a test is pushed below the
+    projection and would work out the whole expression of a feature again.
+    """
+    rows = df.select(label, *(columns or c.FEATURE_COLUMNS))
+    for f in rows.schema:
+        if f.nullable:
+            rows = rows.where(F.col(f.name).isNotNull())
+    return rows

@@ -9,6 +9,7 @@ from mailscore import constants as c
 from mailscore.functions import risk, segments
 from mailscore.functions import text as tx
 from mailscore.operators import schema
+from mailscore.operators.once import compute_once
 
 RISK_COLUMNS = ["domain_risk", "links_risk", "sender_trusted", "links_trusted", "base_score", "trust_factor"]
 
@@ -25,14 +26,15 @@ def extract_features(
     ``compat_serving_defaults`` leaves attachment, length and exclamation marks
     at 0, as an interactive scorer without access to them would.
     """
-    df = schema.with_overrides(emails, text, overrides or {})
+    df = schema.with_overrides(schema.with_shared(emails, text), text, overrides or {})
     if compat_serving_defaults:
         zero = F.lit(0)
         fixed = {n: zero for n in ("body_length", "exclamation_count")}
         override = (overrides or {}).get("has_attachment")
         fixed["has_attachment"] = F.coalesce(F.col(override), zero) if override else zero
         df = df.withColumns(fixed)
-    return df.withColumn("link_domains", F.coalesce(tx.link_domains(F.col(text), fix_scheme_case), F.array().cast("array<string>")))
+    df = df.withColumn("link_domains", tx.link_domains(F.col("_urls"), fix_scheme_case)).drop("_lower", "_urls")
+    return compute_once(df, [x for x in emails.columns if x not in schema.FEATURES])
 
 
 def add_risks(features: DataFrame, probability: str = "probability", use_link_domains: bool = True) -> DataFrame:
@@ -134,8 +136,10 @@ def suspicious_segments(emails: DataFrame, text: str = "text", keep: tuple[str,
     Scored, sorted and cut inside the row, so the explode yields ten rows at
     most and nothing is shuffled.
     """
-    top = segments.top_segments(segments.scored_segments(F.col(text)))
-    rows = emails.select(*keep, F.posexplode(top).alias("_i", "s"))
+    clue = segments.clues(F.col("_lower"))
+    prepared = emails.select(*keep, text).withColumn("_lower", F.lower(text)).withColumns({f"_{n}": x for n, x in clue.items()})
+    top = segments.top_segments(segments.scored_segments(F.col(text), {n: F.col(f"_{n}") for n in clue}))
+    rows = prepared.select(*keep, F.posexplode(top).alias("_i", "s"))
     return rows.select(
         *keep,
         (F.col("_i") + 1).alias("rank"),

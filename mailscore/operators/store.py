@@ -22,8 +22,8 @@ def first_arrivals(emails: DataFrame, keys: list[str] | None = None, row_id: str
     """One row per key, the first to arrive.
 
     Only keys that occur more than once travel: they are found on the narrow key
-    columns and the later copies are cut from the table by an anti-join, so the
-    bodies need no shuffle while the list of such keys is small.
+    columns and the later copies are cut from the table by an anti-join. While
+    the list of such keys is small the bodies are not shuffled at all.
     """
     keys = keys or MESSAGE_KEY
     repeated = (
@@ -32,7 +32,7 @@ def first_arrivals(emails: DataFrame, keys: list[str] | None = None, row_id: str
         .where(F.col("_n") > 1)
         .drop("_n")
     )
-    e, r = emails.alias("e"), repeated.alias("r")
+    e, r = emails.alias("e"), ranking.broadcast_if_small(repeated).alias("r")
     same = [F.col(f"e.{k}") == F.col(f"r.{k}") for k in keys]
     later = F.col(f"e.{row_id}") != F.col("r._first")
     return e.join(r, [*same, later], "left_anti")
@@ -115,7 +115,7 @@ def prediction_pages(
 def prediction_history(predictions: DataFrame) -> DataFrame:
     """All predictions with their place in the email's history, newest = 1; long histories are numbered hour by hour."""
     return ranking.sliced_row_number(
-        predictions, ["email_id"], F.date_format("created_at", "yyyyMMddHH"), newest_first(), True, "history_rank"
+        predictions, ["email_id"], F.date_trunc("hour", F.col("created_at")), newest_first(), True, "history_rank"
     )
 
 

@@ -1,8 +1,10 @@
 """Terms of a corpus: frequencies, TF-IDF, and the terms that mark a class.
 
-Counting terms is one shuffle of (term, count) after a map-side sum. Weights are
-worked out inside each row against the vocabulary, whose size is a parameter,
-so the tokens of the corpus are never shuffled by document.
+A pair of words is at most as frequent as either word. So the words are counted
+first; only pairs of words that can reach the vocabulary are counted at all, and
+the shuffle holds no pair that was seen once or twice in some document. Weights
+are worked out inside each row against the vocabulary, whose size is a
+parameter: the tokens of the corpus are never shuffled by document.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailscore import constants as c
@@ -21,38 +23,80 @@ from mailscore.functions import text as tx
 
 BROADCAST_TERMS = 1_000_000
 
+# Most words that a list of candidate words may hold.
+CANDIDATE_WORDS = 50_000
 
-def add_terms(
-    df: DataFrame, text: str, out: str = "terms", stop_words: list[str] | None = None, ngrams: bool = True
-) -> DataFrame:
-    """Adds the words of a text without stop words, followed by the pairs of neighbours."""
+_NO_TERMS = "cast(array() as array<string>)"
+
+
+def _words(text: Column, stop_words: list[str] | None) -> Column:
     stops = c.STOP_WORDS if stop_words is None else stop_words
-    words = F.coalesce(tx.tokens(F.col(text)), F.array().cast("array<string>"))
-    df = df.withColumn("_words", F.filter(words, lambda w: ~w.isin(stops)) if stops else words)
-    if not ngrams:
-        return df.withColumn(out, F.col("_words")).drop("_words")
-    n = F.size("_words")
-    pairs = F.zip_with(
-        F.slice("_words", 1, F.greatest(n - 1, F.lit(0))),
-        F.slice("_words", 2, F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return df.withColumn(out, F.concat("_words", F.when(n > 1, pairs).otherwise(F.array().cast("array<string>")))).drop("_words")
+    words = F.coalesce(tx.tokens(text), F.expr(_NO_TERMS))
+    return F.filter(words, lambda w: ~w.isin(stops)) if stops else words
+
+
+def add_terms(df: DataFrame, text: str, out: str = "terms", stop_words: list[str] | None = None) -> DataFrame:
+    """Adds the words of a text without stop words, followed by the pairs of neighbours."""
+    df = df.withColumn("_words", _words(F.col(text), stop_words))
+    pairs = F.zip_with(*_neighbours("_words"), lambda a, b: F.concat(a, F.lit(" "), b))
+    return df.withColumn(out, F.concat("_words", pairs)).drop("_words")
+
+
+def _neighbours(words: str) -> tuple[Column, Column]:
+    """All words but the last, all words but the first."""
+    most = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.slice(words, 1, most), F.slice(words, 2, most)
 
 
-def term_frequencies(df: DataFrame, terms: str = "terms") -> DataFrame:
-    """term, cf (occurrences), df (documents)."""
-    each = F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df")))
+def candidate_words(
+    df: DataFrame, text: str, size: int, stop_words: list[str] | None = None
+) -> DataFrame | None:
+    """The words a vocabulary of the given size can be made of; None if that is no use.
+
+    These are the words as frequent as the one in the last place: a term with a
+    rarer word in it has ``size`` single words before it. None if there are fewer
+    words than places, or more candidates than ``CANDIDATE_WORDS``.
+    """
+    most = max(CANDIDATE_WORDS, 2 * size)
+    words = df.select(F.explode(_words(F.col(text), stop_words)).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.col("n").desc()).limit(most).collect()  # bounded
+    if len(top) < size:
+        return None
+    least = top[size - 1].n
+    if len(top) == most and top[-1].n >= least:
+        return None
+    return df.sparkSession.createDataFrame([(r.word,) for r in top if r.n >= least], "word string")
+
+
+def term_frequencies(
+    df: DataFrame, text: str, candidates_for: int | None = None, stop_words: list[str] | None = None
+) -> DataFrame:
+    """term, cf (occurrences), df (documents).
+
+    With ``candidates_for`` terms that cannot be among that many most frequent
+    ones are left out before they are counted.
+    """
+    terms = add_terms(df.select(text), text, stop_words=stop_words)
+    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df")))
     once = F.transform(
-        F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
+        F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
     )
-    rows = df.select(F.explode(F.concat(each, once)).alias("t")).select("t.*")
+    rows = terms.select(F.inline(F.concat(each, once)))
+    candidates = candidate_words(df, text, candidates_for, stop_words) if candidates_for else None
+    if candidates is not None:
+        known = F.broadcast(candidates)  # at most CANDIDATE_WORDS
+        for end in (1, -1):  # first and last word: the same one in a single word
+            rows = rows.join(known, F.substring_index("term", " ", end) == F.col("word"), "left_semi")
     return rows.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
-def vocabulary(frequencies: DataFrame, size: int = c.VOCABULARY_SIZE) -> DataFrame:
-    """The most frequent terms; of equals the first in the alphabet."""
-    return frequencies.orderBy(F.col("cf").desc(), F.col("term")).limit(size)
+def vocabulary(
+    df: DataFrame, text: str, size: int = c.VOCABULARY_SIZE, stop_words: list[str] | None = None
+) -> DataFrame:
+    """term, cf, df of the most frequent terms; of equals the first in the alphabet."""
+    counted = term_frequencies(df, text, size, stop_words)
+    return counted.orderBy(F.col("cf").desc(), F.col("term")).limit(size)
 
 
 @dataclass(frozen=True)
@@ -61,28 +105,37 @@ class Weights:
 
     terms: list[str]
     idf: list[float]
+    stop_words: list[str] | None = None
 
     @classmethod
-    def fit(cls, df: DataFrame, terms: str = "terms", size: int = c.VOCABULARY_SIZE) -> Weights:
+    def fit(
+        cls, df: DataFrame, text: str, size: int = c.VOCABULARY_SIZE, stop_words: list[str] | None = None
+    ) -> Weights:
         n = df.agg(F.count("*").alias("n")).scalar()
         idf = F.log((n + F.lit(1)) / (F.col("df") + 1)) + 1
-        # bounded by the vocabulary size
-        rows = vocabulary(term_frequencies(df, terms), size).select("term", idf.alias("idf")).collect()
-        return cls([r.term for r in rows], [r.idf for r in rows])
-
-    def tfidf(self, df: DataFrame, terms: str = "terms", out: str = "tfidf") -> DataFrame:
-        """Adds the L2-normalised TF-IDF vector of each row."""
-        counted = CountVectorizerModel.from_vocabulary(
-            self.terms, inputCol=terms, outputCol="_tf"
-        ).transform(df)
-        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_w").transform(counted)
-        return Normalizer(p=2.0, inputCol="_w", outputCol=out).transform(scaled).drop("_tf", "_w")
-
-
-def class_differences(df: DataFrame, weights: Weights, label: str = "label", terms: str = "terms") -> DataFrame:
+        rows = vocabulary(df, text, size, stop_words).select("term", idf.alias("idf")).collect()  # bounded by size
+        return cls([r.term for r in rows], [r.idf for r in rows], stop_words)
+
+    def stages(self, terms: str = "terms", out: str = "tfidf") -> list:
+        """Transformers from terms to the L2-normalised TF-IDF vector."""
+        return [
+            CountVectorizerModel.from_vocabulary(self.terms, inputCol=terms, outputCol="_tf"),
+            ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_w"),
+            Normalizer(p=2.0, inputCol="_w", outputCol=out),
+        ]
+
+    def tfidf(self, df: DataFrame, text: str, out: str = "tfidf") -> DataFrame:
+        """Adds the TF-IDF vector of each row."""
+        df = add_terms(df, text, "_terms", self.stop_words)
+        for stage in self.stages("_terms", out):
+            df = stage.transform(df)
+        return df.drop("_terms", "_tf", "_w")
+
+
+def class_differences(df: DataFrame, weights: Weights, text: str, label: str = "label") -> DataFrame:
     """term, phishing, legitimate, diff: mean weight of each term per class (absent terms count as 0)."""
     means = (
-        weights.tfidf(df.where(F.col(label).isin(0, 1)), terms)
+        weights.tfidf(df.where(F.col(label).isin(0, 1)), text)
         .groupBy(label)
         .agg(Summarizer.mean(F.col("tfidf")).alias("mean"))
         .select(label, F.posexplode(vector_to_array("mean")).alias("i", "w"))
@@ -109,16 +162,17 @@ def indicator_terms(differences: DataFrame, k: int = c.TERMS_PER_CLASS) -> DataF
 
 
 def score_by_terms(
-    texts: DataFrame, differences: DataFrame, keys: list[str], n_terms: int, terms: str = "terms"
+    texts: DataFrame, text: str, differences: DataFrame, keys: list[str], weights: Weights
 ) -> DataFrame:
     """matched, avg_score, verdict per text from its distinct known terms; texts without any are left out.
 
-    ``n_terms`` is the size of the vocabulary behind ``differences``: up to
-    ``BROADCAST_TERMS`` of them go to every executor, a longer list is joined by a shuffle.
+    ``differences`` has a row per term of the vocabulary: up to ``BROADCAST_TERMS``
+    of them go to every executor, a longer list is joined by a shuffle.
     """
-    rows = texts.select(*keys, F.explode(F.array_distinct(terms)).alias("term"))
+    terms = add_terms(texts, text, stop_words=weights.stop_words)
+    rows = terms.select(*keys, F.explode(F.array_distinct("terms")).alias("term"))
     known = differences.select("term", "diff")
-    known = F.broadcast(known) if n_terms <= BROADCAST_TERMS else known
+    known = F.broadcast(known) if len(weights.terms) <= BROADCAST_TERMS else known
     averaged = rows.join(known, "term").groupBy(*keys).agg(F.count("*").alias("matched"), F.avg("diff").alias("avg_score"))
     verdict = F.when(F.col("avg_score") > c.TERM_VERDICT_CUT, F.lit("SUSPICIOUS")).otherwise(F.lit("LIKELY SAFE"))
     return averaged.withColumn("verdict", verdict)

@@ -19,77 +19,82 @@ TEXTS = "email_id, text"
 
 def texts(spark, sf) -> DataFrame:
     """Emails with subject and body as one text."""
-    return fx.emails(spark, sf).withColumn("text", tx.join_subject(F.col("subject"), F.col("body")))
+    return fx.text_emails(spark, sf).withColumn("text", tx.join_subject(F.col("subject"), F.col("body")))
 
 
-def with_probability(spark, sf) -> DataFrame:
-    """Emails with text and the probability of their latest prediction."""
+def risks(spark, sf, use_link_domains: bool = True) -> DataFrame:
+    """Emails with features and risks, the probability being that of the latest prediction.
+
+    The features are taken before the join, so that no text travels.
+    """
     latest = store.latest_predictions(
         fx.predictions(spark, sf).select("email_id", "prediction_id", "probability", "created_at")
     )
-    return texts(spark, sf).join(latest.select("email_id", "probability"), "email_id")
+    features = scoring.extract_features(texts(spark, sf).select("email_id", "text")).drop("text")
+    joined = features.join(latest.select("email_id", "probability"), "email_id")
+    return scoring.add_risks(joined, use_link_domains=use_link_domains)
 
 
 def scored(spark, sf) -> DataFrame:
-    return scoring.score_emails(with_probability(spark, sf))
+    return scoring.add_verdict(risks(spark, sf))
 
 
 def _feature(name: str, expression, check: str) -> None:
     """Registers one feature over all emails."""
 
     def run(spark, sf):
-        df = texts(spark, sf).withColumn("lowered", F.lower("text"))
-        return df.select("email_id", expression(F.col("text"), F.col("lowered")).alias("value"))
+        df = schema.with_shared(texts(spark, sf), "text")
+        return df.select("email_id", expression(F.col("text"), F.col("_lower"), F.col("_urls")).alias("value"))
 
     R.query(name, f"SELECT email_id, {check} AS value FROM feat")(run)
 
 
-_feature("sc3_url_count", lambda t, lo: tx.url_count(t), "links_count")
-_feature("sc4_has_url", lambda t, lo: tx.has_url(t), "(links_count > 0)::INT")
-_feature("sc5_exclamation_count", lambda t, lo: tx.exclamation_count(t), "exclamation_count")
-_feature("sc6_char_count", lambda t, lo: tx.char_count(t), "body_length")
-_feature("sc7_urgent_flag", lambda t, lo: tx.urgent_flag(lo), "urgent_keywords")
-_feature("sc8_urgent_count", lambda t, lo: tx.urgent_count(lo), "urgent_count")
-_feature("sc9_attachment_flag", lambda t, lo: tx.attachment_flag(lo), "has_attachment")
-_feature("sc10_sender_domain", lambda t, lo: tx.sender_domain(t), "sender_domain")
+_feature("sc3_url_count", lambda t, lo, u: tx.url_count(u), "links_count")
+_feature("sc4_has_url", lambda t, lo, u: tx.has_url(u), "(links_count > 0)::INT")
+_feature("sc5_exclamation_count", lambda t, lo, u: tx.exclamation_count(t), "exclamation_count")
+_feature("sc6_char_count", lambda t, lo, u: tx.char_count(t), "body_length")
+_feature("sc7_urgent_flag", lambda t, lo, u: tx.urgent_flag(lo), "urgent_keywords")
+_feature("sc8_urgent_count", lambda t, lo, u: tx.urgent_count(lo), "urgent_count")
+_feature("sc9_attachment_flag", lambda t, lo, u: tx.attachment_flag(lo), "has_attachment")
+_feature("sc10_sender_domain", lambda t, lo, u: tx.sender_domain(t), "sender_domain")
 _feature(
-    "sc11_link_domains", lambda t, lo: F.array_join(tx.link_domains(t), ","), "array_to_string(link_domains, ',')"
+    "sc11_link_domains", lambda t, lo, u: F.array_join(tx.link_domains(u), ","), "array_to_string(link_domains, ',')"
 )
 _feature(
     "set2_distinct_in_order",
-    lambda t, lo: F.array_join(F.array_distinct(tx.urls(t)), " "),
+    lambda t, lo, u: F.array_join(F.array_distinct(u), " "),
     "array_to_string(list_filter(urls, lambda u, i: list_position(urls, u) = i), ' ')",
 )
 _feature(
     "jn7_keyword_containment",
-    lambda t, lo: F.array_join(tx.contained_words(lo, c.URGENT_KEYWORDS + c.ATTACHMENT_KEYWORDS), ","),
+    lambda t, lo, u: F.array_join(tx.contained_words(lo, c.URGENT_KEYWORDS + c.ATTACHMENT_KEYWORDS), ","),
     f"array_to_string(list_filter({o.list_of(c.URGENT_KEYWORDS + c.ATTACHMENT_KEYWORDS)}, lambda k: contains(lt, k)), ',')",
 )
 _feature(
     "tk6_first_keywords",
-    lambda t, lo: F.array_join(F.slice(tx.contained_words(lo, c.URGENT_KEYWORDS), 1, 3), ","),
+    lambda t, lo, u: F.array_join(F.slice(tx.contained_words(lo, c.URGENT_KEYWORDS), 1, 3), ","),
     f"array_to_string((list_filter({o.list_of(c.URGENT_KEYWORDS)}, lambda k: contains(lt, k)))[1:3], ',')",
 )
 _feature(
     "tk7_first_address",
-    lambda t, lo: F.coalesce(tx.first_address(t), F.lit("")),
+    lambda t, lo, u: F.coalesce(tx.first_address(t), F.lit("")),
     f"regexp_extract(text, {o.quoted(c.ADDRESS_RE)}, 0)",
 )
 
 
 @R.query("sc1_strip_html", f"SELECT page_id, {o.html_text('html')} AS text FROM pages")
 def strip_html(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+    return fx.text_table(spark, sf, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
 @R.query("sc2_normalize_text", f"SELECT page_id, {o.normal_text('html')} AS text FROM pages")
 def normalize_text(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", tx.normalize_text(F.col("html")).alias("text"))
+    return fx.text_table(spark, sf, "pages").select("page_id", tx.normalize_text(F.col("html")).alias("text"))
 
 
 @R.query("sc2_normalize_emails", f"SELECT email_id, {o.normal_text('body')} AS text FROM emails")
 def normalize_emails(spark, sf):
-    return fx.emails(spark, sf).select("email_id", tx.normalize_text(F.col("body")).alias("text"))
+    return fx.text_emails(spark, sf).select("email_id", tx.normalize_text(F.col("body")).alias("text"))
 
 
 @R.query("prj8_subject_and_body", "SELECT email_id, text FROM texts")
@@ -144,7 +149,7 @@ def required_rows(spark, sf):
 def overrides(spark, sf):
     """Label and the domain of the sender column stand in for given values."""
     given = texts(spark, sf).withColumn("sd", F.nullif(tx.sender_domain(F.col("sender")), F.lit("unknown")))
-    df = schema.with_overrides(given, "text", {"has_attachment": "label", "sender_domain": "sd"})
+    df = schema.with_overrides(schema.with_shared(given, "text"), "text", {"has_attachment": "label", "sender_domain": "sd"})
     return df.select("email_id", "has_attachment", "links_count", "urgent_keywords", "sender_domain")
 
 
@@ -166,8 +171,8 @@ def trusted_domain(spark, sf):
 )
 def trusted_by_table(spark, sf):
     """Link and page domains against a trust list held as a table (here: the sender domains)."""
-    links = texts(spark, sf).select(F.explode(tx.link_domains(F.col("text"))).alias("domain"))
-    pages = fx.table(spark, sf, "pages").select(
+    links = texts(spark, sf).select(F.explode(tx.link_domains(tx.urls(F.col("text")))).alias("domain"))
+    pages = fx.text_table(spark, sf, "pages").select(
         F.split_part(F.lower(F.regexp_extract("url", c.LINK_DOMAIN_RE, 1)), F.lit(":"), F.lit(1)).alias("domain")
     )
     names = fx.emails(spark, sf).select(F.split_part(F.lower("sender"), F.lit("@"), F.lit(2)).alias("domain")).distinct()
@@ -179,7 +184,7 @@ def trusted_by_table(spark, sf):
     f"SELECT email_id, n_domains, n_trusted, {o.r6('n_trusted::DOUBLE / n_domains')} AS share FROM feat WHERE n_domains > 0",
 )
 def trusted_link_share(spark, sf):
-    df = texts(spark, sf).select("email_id", tx.link_domains(F.col("text")).alias("d"))
+    df = texts(spark, sf).select("email_id", tx.link_domains(tx.urls(F.col("text"))).alias("d"))
     df = df.select("email_id", F.size("d").alias("n_domains"), risk.trusted_count(F.col("d")).alias("n_trusted"))
     share = risk.trusted_share(F.col("n_domains"), F.col("n_trusted"))
     return df.where(F.col("n_domains") > 0).withColumn("share", risk.round6(share))
@@ -192,7 +197,7 @@ def domain_risk(spark, sf):
 
 @R.query("sc15_links_risk", "SELECT email_id, links_count, links_risk AS risk FROM risks")
 def links_risk(spark, sf):
-    return scored(spark, sf).select("email_id", "links_count", F.col("links_risk").alias("risk"))
+    return risks(spark, sf).select("email_id", "links_count", F.col("links_risk").alias("risk"))
 
 
 @R.query("sc16_ensemble_score", f"SELECT email_id, {o.r6('score')} AS ensemble_score FROM scored")
@@ -209,8 +214,7 @@ def ensemble_score(spark, sf):
 )
 def ensemble_without_domains(spark, sf):
     """The interactive form, which does not look at link domains."""
-    df = scoring.score_emails(with_probability(spark, sf), use_link_domains=False)
-    return df.select("email_id", risk.round6(F.col("ensemble_score")).alias("ensemble_score"))
+    return risks(spark, sf, use_link_domains=False).select("email_id", risk.round6(F.col("ensemble_score")).alias("ensemble_score"))
 
 
 @R.query("sc17_classification", "SELECT email_id, classification FROM scored")
@@ -263,12 +267,12 @@ def prediction_records(spark, sf):
 # ---------------------------------------------------------------------- segments
 @R.query("sc21_segments", "SELECT email_id, position, segment FROM segs")
 def segments(spark, sf):
-    return scoring.all_segments(fx.emails(spark, sf), "body")
+    return scoring.all_segments(fx.text_emails(spark, sf), "body")
 
 
 @R.query("sc22_segment_scores", "SELECT email_id, position, score FROM seg_top")
 def segment_scores(spark, sf):
-    return scoring.suspicious_segments(fx.emails(spark, sf), "body").select("email_id", "position", "score")
+    return scoring.suspicious_segments(fx.text_emails(spark, sf), "body").select("email_id", "position", "score")
 
 
 @R.query(
@@ -277,7 +281,7 @@ def segment_scores(spark, sf):
       score, reasons FROM seg_top""",
 )
 def segment_reasons(spark, sf):
-    top = scoring.suspicious_segments(fx.emails(spark, sf), "body")
+    top = scoring.suspicious_segments(fx.text_emails(spark, sf), "body")
     return top.select("email_id", "position", "segment", "score", F.concat_ws(" | ", "reasons").alias("reasons"))
 
 
@@ -287,13 +291,13 @@ def segment_reasons(spark, sf):
     FROM seg_top GROUP BY 1""",
 )
 def segment_severity(spark, sf):
-    top = scoring.suspicious_segments(fx.emails(spark, sf), "body")
+    top = scoring.suspicious_segments(fx.text_emails(spark, sf), "body")
     return top.groupBy("severity").agg(F.count("*").alias("n"))
 
 
 @R.query("tk2_top_segments", "SELECT email_id, rank, segment, score FROM (SELECT email_id, rank, CASE WHEN length(segment) > 150 THEN substr(segment, 1, 150) || '...' ELSE segment END AS segment, score FROM seg_top)")
 def top_segments(spark, sf):
-    return scoring.suspicious_segments(fx.emails(spark, sf), "body").select("email_id", "rank", "segment", "score")
+    return scoring.suspicious_segments(fx.text_emails(spark, sf), "body").select("email_id", "rank", "segment", "score")
 
 
 # ----------------------------------------------------------------------- checks
@@ -311,8 +315,9 @@ def range_checks(spark, sf):
     latest = events.groupBy((F.col("event_id") % 1000).alias("email_id")).agg(
         F.max_by("value", F.struct("ts", "event_id")).alias("value")
     )
-    given = texts(spark, sf).join(latest, "email_id").withColumn("probability", F.col("value") / 10)
-    return quality.rule_counts(scoring.score_emails(given))
+    features = scoring.extract_features(texts(spark, sf).select("email_id", "text")).drop("text")
+    given = features.join(latest, "email_id").withColumn("probability", F.col("value") / 10)
+    return quality.rule_counts(scoring.add_verdict(scoring.add_risks(given)))
 
 
 @R.query(

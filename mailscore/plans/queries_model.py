@@ -21,8 +21,8 @@ from mailscore.plans.score import score_table
 from mailscore.sources import fixtures as fx
 
 
-def mail_terms(spark, sf) -> DataFrame:
-    return tm.add_terms(labelled(spark, sf).select("email_id", "label", "body"), "body")
+def labelled_mail(spark, sf) -> DataFrame:
+    return fx.text_emails(spark, sf).where(F.col("label").isNotNull()).select("email_id", "label", "body")
 
 
 # ------------------------------------------------------------------------- terms
@@ -31,14 +31,13 @@ def mail_terms(spark, sf) -> DataFrame:
     f"""SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM doc_terms GROUP BY term ORDER BY cf DESC, term LIMIT {c.VOCABULARY_SIZE}""",
 )
 def term_frequencies(spark, sf):
-    docs = tm.add_terms(fx.table(spark, sf, "documents").select("text"), "text")
-    return tm.vocabulary(tm.term_frequencies(docs))
+    return tm.vocabulary(fx.text_table(spark, sf, "documents").select("text"), "text")
 
 
 def differences(spark, sf) -> tuple[DataFrame, tm.Weights]:
-    df = mail_terms(spark, sf)
-    weights = tm.Weights.fit(df)
-    return tm.class_differences(df, weights), weights
+    df = labelled_mail(spark, sf)
+    weights = tm.Weights.fit(df, "body")
+    return tm.class_differences(df, weights, "body"), weights
 
 
 @R.query(
@@ -86,8 +85,8 @@ def marking_terms(spark, sf):
 )
 def score_by_terms(spark, sf):
     diff, weights = differences(spark, sf)
-    conversations = tm.add_terms(fx.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "text")
-    df = tm.score_by_terms(conversations, diff, ["conv_id", "turn"], len(weights.terms))
+    conversations = fx.text_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    df = tm.score_by_terms(conversations, "text", diff, ["conv_id", "turn"], weights)
     return df.withColumn("avg_score", risk.round6(F.col("avg_score")))
 
 
@@ -97,9 +96,9 @@ def score_by_terms(spark, sf):
 )
 def tfidf(spark, sf):
     """Size, sum and largest weight of every TF-IDF vector."""
-    df = mail_terms(spark, sf)
+    df = labelled_mail(spark, sf)
     w = F.filter(vector_to_array("tfidf"), lambda x: x > 0)
-    rows = tm.Weights.fit(df).tfidf(df).select("email_id", w.alias("w")).where(F.size("w") > 0)
+    rows = tm.Weights.fit(df, "body").tfidf(df, "body").select("email_id", w.alias("w")).where(F.size("w") > 0)
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     return rows.select(
         "email_id",

@@ -129,7 +129,7 @@ def union_by_name(spark, sf):
 # ---------------------------------------------------------------------- messages
 def payloads(spark, sf) -> DataFrame:
     """Every email as the JSON a mail provider would deliver, in four shapes."""
-    e = fx.received(fx.emails(spark, sf))
+    e = fx.received(fx.text_emails(spark, sf))
     data = F.translate(F.base64(F.encode("body", "UTF-8")), "+/", "-_")
     other = F.translate(F.base64(F.encode(F.coalesce("subject", F.lit("-")), "UTF-8")), "+/", "-_")
 

@@ -7,17 +7,13 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (
-    CountVectorizerModel,
-    ElementwiseProduct,
     FeatureHasher,
-    Normalizer,
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,7 +21,7 @@ from pyspark.sql import Window as W
 from mailscore import constants as c
 from mailscore.functions import labels
 from mailscore.functions import text as tx
-from mailscore.operators import analytics, evaluation, quality, schema
+from mailscore.operators import analytics, evaluation, quality, ranking, schema
 from mailscore.operators import terms as tm
 from mailscore.session import ensure_checkpoint_dir
 
@@ -65,7 +61,9 @@ def training_rows(
     df = schema.normalize_columns(history)
     label = schema.label_column(df, label)
     df = df.withColumn("_raw", schema.text_expression(df, text)).where(F.col("_raw").isNotNull())
-    df = schema.ensure_features(df, "_raw").withColumn("text", tx.normalize_text(F.col("_raw")))
+    df = schema.ensure_features(df, "_raw").withColumn(
+        "text", F.coalesce(tx.normalize_text(F.col("_raw")), F.lit(""))
+    )
     columns = [*c.FEATURE_COLUMNS, *keep]
     rows = schema.required_rows(df.withColumnRenamed(label, "_label"), "_label", columns)
     if strict:
@@ -97,7 +95,7 @@ def stratified_split(
         F.round(F.sum("_n").over(W.partitionBy(label)) * F.lit(test_share)).cast("bigint").alias("_wanted"),
     ).withColumn("_room", F.col("_wanted") - F.col("_before"))
     # at most 2^HASH_SLICE_BITS rows per label
-    placed = hashed.join(bounds.select(label, "_slice", "_room"), [label, "_slice"])
+    placed = ranking.join_null_safe(hashed, bounds.select(label, "_slice", "_room"), [label, "_slice"])
     order = [F.col("_hash"), *(tie or [])]
     rank = F.row_number().over(W.partitionBy(label, "_slice").orderBy(*order))
     return placed.withColumn("is_test", rank <= F.col("_room")).drop("_hash", "_slice", "_room")
@@ -110,8 +108,8 @@ def _fit_transform(estimator, df: DataFrame):
 
 def fit_features(train: DataFrame, settings: Settings) -> tuple[PipelineModel, DataFrame]:
     """(fitted feature stages, training rows with the ``features`` vector)."""
+    weights = tm.Weights.fit(train, "text", settings.vocabulary, settings.stop_words)
     rows = tm.add_terms(train, "text", stop_words=settings.stop_words)
-    weights = tm.Weights.fit(rows, size=settings.vocabulary)
     n_domains = train.agg(F.count_distinct("sender_domain").alias("n")).first().n
     if n_domains <= INDEXED_DOMAINS:
         # the last index stands for unseen domains and is the one left out of the one-hot columns
@@ -126,9 +124,7 @@ def fit_features(train: DataFrame, settings: Settings) -> tuple[PipelineModel, D
             )
         ]
     stages = [
-        CountVectorizerModel.from_vocabulary(weights.terms, inputCol="terms", outputCol="_tf"),
-        ElementwiseProduct(scalingVec=Vectors.dense(weights.idf), inputCol="_tf", outputCol="_w"),
-        Normalizer(p=2.0, inputCol="_w", outputCol="_tfidf"),
+        *weights.stages("terms", "_tfidf"),
         VectorAssembler(inputCols=c.FEATURE_NUMERIC, outputCol="_numbers"),
         StandardScaler(withMean=True, withStd=True, inputCol="_numbers", outputCol="_scaled"),
         *domain,

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailscore.sources.readers import spread
+
 EMAILS_SQL = """
 SELECT d.doc_id AS email_id,
   CAST((d.doc_id - d.doc_id % 20) / 20 AS BIGINT) % 50 AS user_id,
@@ -67,9 +69,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are to be worked on, by all cores."""
+    return spread(table(spark, sf_dir, name))
+
+
+def emails(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """email_id, user_id, message_id, subject, sender, body, lang, source, label."""
-    return spark.sql(EMAILS_SQL, documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    return spark.sql(EMAILS_SQL, documents=documents, labels=table(spark, sf_dir, "labels"))
+
+
+def text_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`emails`, for work on the texts."""
+    return emails(spark, sf_dir, text_table(spark, sf_dir, "documents"))
 
 
 def received(df: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailscore.functions import mime
+from mailscore.operators.once import compute_once
 
 
 def flatten_messages(raw: DataFrame, json_column: str = "payload_json", keep: tuple[str, ...] = ()) -> DataFrame:
     """message_id, subject, sender, recipient, body, received_at, plus ``reject`` = why a message is unusable."""
     m = F.from_json(F.col(json_column), mime.PAYLOAD_SCHEMA)
-    parsed = raw.select(*keep, m.alias("m")).select(
+    parsed = compute_once(raw.select(*keep, m.alias("m")), list(keep)).select(
         *keep,
         F.col("m.id").alias("message_id"),
         F.col("m.payload").alias("p"),
@@ -22,19 +23,17 @@ def flatten_messages(raw: DataFrame, json_column: str = "payload_json", keep: tu
         .when(F.col("p").isNull(), F.lit("no payload"))
         .when(F.col("body").isNull(), F.lit("body not decodable"))
     )
-    return (
-        parsed.withColumn("body", mime.body_of(F.col("p")))
-        .select(
-            *keep,
-            "message_id",
-            mime.header(headers, "Subject").alias("subject"),
-            mime.header(headers, "From").alias("sender"),
-            mime.header(headers, "To").alias("recipient"),
-            "body",
-            mime.mail_date(mime.header(headers, "Date")).alias("received_at"),
-            reject.alias("reject"),
-        )
+    flat = parsed.withColumn("body", mime.body_of(F.col("p"))).select(
+        *keep,
+        "message_id",
+        mime.header(headers, "Subject").alias("subject"),
+        mime.header(headers, "From").alias("sender"),
+        mime.header(headers, "To").alias("recipient"),
+        "body",
+        mime.mail_date(mime.header(headers, "Date")).alias("received_at"),
+        reject.alias("reject"),
     )
+    return compute_once(flat, list(keep))  # good and rejected messages are told apart by a filter
 
 
 def split_rejects(flat: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -29,6 +29,19 @@ class Layout:
     utf8: bool
 
 
+def spread(df: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """A small table that lies in a few files, spread over all cores.
+
+    A Parquet file of one row group is one task, however many cores are idle. A
+    table of many files, or of many rows (counted from the file footers), is
+    left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.count() > small:
+        return df
+    return df.repartition(cores)
+
+
 def suffix_of(path: str) -> str:
     return os.path.splitext(path)[1].lower()
 
