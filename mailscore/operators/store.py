@@ -55,7 +55,7 @@ def resolve_insert(incoming: DataFrame, stored: DataFrame, keys: list[str] | Non
             F.min(F.when(F.col("_old") == 1, F.col("email_id"))), F.min(F.when(F.col("_old") == 0, F.col("email_id")))
         ).alias("stored_email_id")
     )
-    return incoming.join(owner, keys)
+    return incoming.join(ranking.broadcast_if_small(owner), keys)
 
 
 def orphans(predictions: DataFrame, emails: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A pair of words is at most as frequent as either word. So the words are counted
 first; only pairs of words that can reach the vocabulary are counted at all, and
-the shuffle holds no pair that was seen once or twice in some document. Weights
+the shuffle holds none of the countless pairs that occur a few times. Weights
 are worked out inside each row against the vocabulary, whose size is a
 parameter: the tokens of the corpus are never shuffled by document.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from mailscore import constants as c
 from mailscore.functions import text as tx
+from mailscore.session import ensure_checkpoint_dir
 
 BROADCAST_TERMS = 1_000_000
 
@@ -57,16 +58,17 @@ def candidate_words(
     rarer word in it has ``size`` single words before it. None if there are fewer
     words than places, or more candidates than ``CANDIDATE_WORDS``.
     """
-    most = max(CANDIDATE_WORDS, 2 * size)
+    ensure_checkpoint_dir(df.sparkSession)
     words = df.select(F.explode(_words(F.col(text), stop_words)).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.col("n").desc()).limit(most).collect()  # bounded
-    if len(top) < size:
-        return None
-    least = top[size - 1].n
-    if len(top) == most and top[-1].n >= least:
-        return None
-    return df.sparkSession.createDataFrame([(r.word,) for r in top if r.n >= least], "word string")
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).checkpoint()
+    # every frequency has a word or more, so the first ``size`` frequencies reach the last place
+    steps = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).limit(size).collect()
+    reached = 0
+    for step in steps:
+        reached += step.words
+        if reached >= size:
+            return counts.where(F.col("n") >= step.n).select("word") if reached <= CANDIDATE_WORDS else None
+    return None
 
 
 def term_frequencies(
@@ -145,7 +147,7 @@ def class_differences(df: DataFrame, weights: Weights, text: str, label: str = "
         F.coalesce(F.sum(F.when(F.col(label) == 0, F.col("w"))), F.lit(0.0)).alias("legitimate"),
     )
     vocab = df.sparkSession.createDataFrame(list(enumerate(weights.terms)), "i int, term string")
-    return per_term.join(F.broadcast(vocab), "i").select(
+    return per_term.join(vocab, "i").select(
         "term", "phishing", "legitimate", (F.col("phishing") - F.col("legitimate")).alias("diff")
     )
 

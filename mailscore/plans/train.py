@@ -79,7 +79,7 @@ def stratified_split(
     ``row_hash`` must tell rows apart, also those of equal content, or equal rows
     would meet in one task. The rows with the lowest hashes are the test rows. The hash range is cut
     into slices; counts per (label, slice) tell which slice holds the last test
-    row, and only the rows of that one slice are put in order.
+    row, and only the rows of that one slice are shuffled and put in order.
     """
     bits = 64 - HASH_SLICE_BITS
     # the sign bit is flipped so that slices ascend with the hash
@@ -88,17 +88,17 @@ def stratified_split(
     )
     counts = hashed.groupBy(label, "_slice").agg(F.count("*").alias("_n"))
     upto = W.partitionBy(label).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    bounds = counts.select(
-        label,
-        "_slice",
-        F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
-        F.round(F.sum("_n").over(W.partitionBy(label)) * F.lit(test_share)).cast("bigint").alias("_wanted"),
-    ).withColumn("_room", F.col("_wanted") - F.col("_before"))
+    wanted = F.round(F.sum("_n").over(W.partitionBy(label)) * F.lit(test_share)).cast("bigint")
     # at most 2^HASH_SLICE_BITS rows per label
-    placed = ranking.join_null_safe(hashed, bounds.select(label, "_slice", "_room"), [label, "_slice"])
-    order = [F.col("_hash"), *(tie or [])]
-    rank = F.row_number().over(W.partitionBy(label, "_slice").orderBy(*order))
-    return placed.withColumn("is_test", rank <= F.col("_room")).drop("_hash", "_slice", "_room")
+    room = counts.select(
+        label, "_slice", "_n", (wanted - F.coalesce(F.sum("_n").over(upto), F.lit(0))).alias("_room")
+    )
+    placed = ranking.join_null_safe(hashed, ranking.broadcast_if_small(room), [label, "_slice"])
+    whole = (F.col("_room") <= 0) | (F.col("_room") >= F.col("_n"))
+    rank = F.row_number().over(W.partitionBy(label, "_slice").orderBy(F.col("_hash"), *(tie or [])))
+    decided = placed.where(whole).withColumn("is_test", F.col("_room") > 0)
+    edge = placed.where(~whole).withColumn("is_test", rank <= F.col("_room"))
+    return decided.unionByName(edge).drop("_hash", "_slice", "_n", "_room")
 
 
 def _fit_transform(estimator, df: DataFrame):

@@ -64,9 +64,9 @@ def unseen(incoming: DataFrame, manifest: DataFrame, key: str = "fingerprint") -
 
 def with_status(incoming: DataFrame, manifest: DataFrame, key: str = "fingerprint") -> DataFrame:
     """Adds status: ``[SKIP]`` where the manifest holds the key, else ``[CACHE]``."""
-    known = manifest.select(key).distinct().withColumn("_known", F.lit(True))
-    status = F.when(F.col("_known"), F.lit("[SKIP]")).otherwise(F.lit("[CACHE]"))
-    return incoming.join(known, key, "left").withColumn("status", status).drop("_known")
+    known = manifest.select(key)
+    skipped = incoming.join(known, key, "left_semi").withColumn("status", F.lit("[SKIP]"))
+    return skipped.unionByName(incoming.join(known, key, "left_anti").withColumn("status", F.lit("[CACHE]")))
 
 
 class DatasetMemory:
@@ -116,7 +116,7 @@ class DatasetMemory:
         keyed = normalize_columns(rows.withColumnRenamed("_path", "_path_")).withColumnRenamed("_path_", "_path")
         columns = [x for x in keyed.columns if x != "_path"]
         keyed = keyed.withColumn("_key", F.regexp_replace("_path", "^[a-z0-9]+:/+", "/"))
-        stored = keyed.join(F.broadcast(names), "_key").select(*[F.col(x).cast("string") for x in columns], "dataset_hash")
+        stored = keyed.join(names, "_key").select(*[F.col(x).cast("string") for x in columns], "dataset_hash")
         (
             stored.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
