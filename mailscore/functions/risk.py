@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailscore import constants as c
+from mailscore.functions.text import sql_text
 
 
-def is_trusted(domain: Column, trusted: list[str] | None = None) -> Column:
-    """The domain is on the list or below a domain that is."""
+def _trusted_sql(domain: str, trusted: list[str] | None) -> str:
     names = c.TRUSTED_DOMAINS if trusted is None else trusted
-    d = F.lower(domain)
-    below = reduce(or_, [F.endswith(d, F.lit("." + t)) for t in names])
-    return F.coalesce(d.isin(names) | below, F.lit(False))
+    d = f"lower({domain})"
+    listed = ", ".join(sql_text(t) for t in names)
+    below = " OR ".join(f"endswith({d}, {sql_text('.' + t)})" for t in names)
+    return f"coalesce({d} IN ({listed}) OR {below}, false)"
+
+
+def is_trusted(domain: str, trusted: list[str] | None = None) -> Column:
+    """The domain in the named column is on the list or below a domain that is."""
+    return F.expr(_trusted_sql(domain, trusted))
 
 
-def trusted_count(domains: Column, trusted: list[str] | None = None) -> Column:
-    return F.size(F.filter(domains, lambda d: is_trusted(d, trusted)))
+def trusted_count(domains: str, trusted: list[str] | None = None) -> Column:
+    """Number of trusted domains in the named array column."""
+    return F.expr(f"size(filter({domains}, d -> {_trusted_sql('d', trusted)}))")
 
 
-def domain_risk(domain: Column, trusted: Column | None = None) -> Column:
+def domain_risk(domain: str, trusted: Column | None = None) -> Column:
     """Risk of a sender domain; ``trusted`` is its flag where already at hand."""
-    d = F.lower(domain)
-    part = reduce(or_, [F.contains(d, F.lit(p)) for p in c.SUSPICIOUS_DOMAIN_PARTS])
-    tld = reduce(or_, [F.endswith(d, F.lit(t)) for t in c.SUSPICIOUS_TLDS])
+    d = f"lower({domain})"
+    part = F.expr(" OR ".join(f"contains({d}, {sql_text(p)})" for p in c.SUSPICIOUS_DOMAIN_PARTS))
+    tld = F.expr(" OR ".join(f"endswith({d}, {sql_text(t)})" for t in c.SUSPICIOUS_TLDS))
     return (
-        F.when(domain.isNull() | (domain == "") | (domain == "unknown"), F.lit(c.DOMAIN_RISK_UNKNOWN))
+        F.when(F.expr(f"coalesce({domain}, '') IN ('', 'unknown')"), F.lit(c.DOMAIN_RISK_UNKNOWN))
         .when(is_trusted(domain) if trusted is None else trusted, F.lit(c.DOMAIN_RISK_TRUSTED))
         .when(part, F.lit(c.DOMAIN_RISK_PART))
         .when(tld, F.lit(c.DOMAIN_RISK_TLD))

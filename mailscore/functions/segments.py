@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ def split_segments(text: Column) -> Column:
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 
-def clues(lowered: Column) -> dict[str, Column]:
+def clues(lowered: str) -> dict[str, Column]:
     """What a whole text holds: its keywords, whether it may hold links, which patterns may match.
 
     A segment holds no more than its text, so segments are only searched for
@@ -27,7 +27,7 @@ def clues(lowered: Column) -> dict[str, Column]:
     """
     found = {
         "keywords": contained_words(lowered, c.URGENT_KEYWORDS),
-        "links": F.contains(lowered, F.lit("://")) | F.contains(lowered, F.lit("www.")),
+        "links": F.expr(f"contains({lowered}, '://') OR contains({lowered}, 'www.')"),
     }
     for i, literals in enumerate(c.SEGMENT_PATTERN_LITERALS):
         found[f"pattern{i}"] = contains_any(lowered, literals) == 1
@@ -41,7 +41,8 @@ def _facts(clue: dict[str, Column]):
         links = F.when(may_link, F.regexp_count(s["segment"], F.lit(c.URL_RE))).otherwise(F.lit(0))
         matched = []
         for i, (pattern, reason) in enumerate(c.SEGMENT_PATTERNS):
-            may_match = clue[f"pattern{i}"] & (contains_any(low, c.SEGMENT_PATTERN_LITERALS[i]) == 1)
+            held = reduce(or_, [F.contains(low, F.lit(w)) for w in c.SEGMENT_PATTERN_LITERALS[i]])
+            may_match = clue[f"pattern{i}"] & held
             matched.append(F.when(may_match & F.rlike(low, F.lit(portable(pattern))), F.lit(reason)))
         return F.struct(
             s["pos"].alias("pos"),

@@ -100,11 +100,10 @@ def with_shared(df: DataFrame, text: str) -> DataFrame:
 
 def feature_expressions(text: Column) -> dict[str, Column]:
     """The six features of a text, on rows that :func:`with_shared` has prepared."""
-    lowered = F.col("_lower")
     return {
-        "has_attachment": tx.attachment_flag(lowered),
+        "has_attachment": tx.attachment_flag("_lower"),
         "links_count": tx.url_count(F.col("_urls")),
-        "urgent_keywords": tx.urgent_flag(lowered),
+        "urgent_keywords": tx.urgent_flag("_lower"),
         "sender_domain": tx.sender_domain(text),
         "body_length": tx.char_count(text),
         "exclamation_count": tx.exclamation_count(text),

@@ -40,17 +40,17 @@ def extract_features(
 def add_risks(features: DataFrame, probability: str = "probability", use_link_domains: bool = True) -> DataFrame:
     """Adds the rule risks and the ensemble score; the trust flags are worked out once."""
     known = F.size("link_domains") if use_link_domains else F.lit(0)
-    trusted = risk.trusted_count(F.col("link_domains")) if use_link_domains else F.lit(0)
+    trusted = risk.trusted_count("link_domains") if use_link_domains else F.lit(0)
     df = features.withColumns(
         {
-            "sender_trusted": risk.is_trusted(F.col("sender_domain")),
+            "sender_trusted": risk.is_trusted("sender_domain"),
             "trusted_share": risk.trusted_share(known, trusted),
         }
     )
     df = df.withColumns(
         {
             "links_trusted": risk.links_trusted(F.col("trusted_share")),
-            "domain_risk": risk.domain_risk(F.col("sender_domain"), F.col("sender_trusted")),
+            "domain_risk": risk.domain_risk("sender_domain", F.col("sender_trusted")),
             "links_risk": risk.links_risk(F.col("links_count"), F.col("trusted_share")),
         }
     )
@@ -136,7 +136,7 @@ def suspicious_segments(emails: DataFrame, text: str = "text", keep: tuple[str,
     Scored, sorted and cut inside the row, so the explode yields ten rows at
     most and nothing is shuffled.
     """
-    clue = segments.clues(F.col("_lower"))
+    clue = segments.clues("_lower")
     prepared = emails.select(*keep, text).withColumn("_lower", F.lower(text)).withColumns({f"_{n}": x for n, x in clue.items()})
     top = segments.top_segments(segments.scored_segments(F.col(text), {n: F.col(f"_{n}") for n in clue}))
     rows = prepared.select(*keep, F.posexplode(top).alias("_i", "s"))

@@ -44,7 +44,7 @@ def _feature(name: str, expression, check: str) -> None:
 
     def run(spark, sf):
         df = schema.with_shared(texts(spark, sf), "text")
-        return df.select("email_id", expression(F.col("text"), F.col("_lower"), F.col("_urls")).alias("value"))
+        return df.select("email_id", expression(F.col("text"), "_lower", F.col("_urls")).alias("value"))
 
     R.query(name, f"SELECT email_id, {check} AS value FROM feat")(run)
 
@@ -159,7 +159,7 @@ def overrides(spark, sf):
 )
 def trusted_domain(spark, sf):
     df = texts(spark, sf).select("email_id", tx.sender_domain(F.col("text")).alias("sender_domain"))
-    return df.withColumn("trusted", risk.is_trusted(F.col("sender_domain")))
+    return df.withColumn("trusted", risk.is_trusted("sender_domain"))
 
 
 @R.query(
@@ -185,14 +185,15 @@ def trusted_by_table(spark, sf):
 )
 def trusted_link_share(spark, sf):
     df = texts(spark, sf).select("email_id", tx.link_domains(tx.urls(F.col("text"))).alias("d"))
-    df = df.select("email_id", F.size("d").alias("n_domains"), risk.trusted_count(F.col("d")).alias("n_trusted"))
+    df = df.select("email_id", F.size("d").alias("n_domains"), risk.trusted_count("d").alias("n_trusted"))
     share = risk.trusted_share(F.col("n_domains"), F.col("n_trusted"))
     return df.where(F.col("n_domains") > 0).withColumn("share", risk.round6(share))
 
 
 @R.query("sc14_domain_risk", f"SELECT email_id, {o.domain_risk('sender_domain')} AS risk FROM feat")
 def domain_risk(spark, sf):
-    return texts(spark, sf).select("email_id", risk.domain_risk(tx.sender_domain(F.col("text"))).alias("risk"))
+    df = texts(spark, sf).select("email_id", tx.sender_domain(F.col("text")).alias("sender_domain"))
+    return df.select("email_id", risk.domain_risk("sender_domain").alias("risk"))
 
 
 @R.query("sc15_links_risk", "SELECT email_id, links_count, links_risk AS risk FROM risks")

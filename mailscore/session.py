@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # plans hold many small expressions; noting the call site of each doubles the time to build them
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 
