@@ -9,7 +9,7 @@ from mailscore import constants as c
 from mailscore.functions import risk, segments
 from mailscore.functions import text as tx
 from mailscore.operators import schema
-from mailscore.operators.once import compute_once
+from mailscore.operators.once import compute_once, posexplode_once
 
 RISK_COLUMNS = ["domain_risk", "links_risk", "sender_trusted", "links_trusted", "base_score", "trust_factor"]
 
@@ -139,7 +139,7 @@ def suspicious_segments(emails: DataFrame, text: str = "text", keep: tuple[str,
     clue = segments.clues("_lower")
     prepared = emails.select(*keep, text).withColumn("_lower", F.lower(text)).withColumns({f"_{n}": x for n, x in clue.items()})
     top = segments.top_segments(segments.scored_segments(F.col(text), {n: F.col(f"_{n}") for n in clue}))
-    rows = prepared.select(*keep, F.posexplode(top).alias("_i", "s"))
+    rows = posexplode_once(prepared, list(keep), top, "_i", "s")
     return rows.select(
         *keep,
         (F.col("_i") + 1).alias("rank"),
@@ -153,8 +153,7 @@ def suspicious_segments(emails: DataFrame, text: str = "text", keep: tuple[str,
 
 def all_segments(emails: DataFrame, text: str = "text", keep: tuple[str, ...] = ("email_id",)) -> DataFrame:
     """position, segment of every segment, scored or not."""
-    rows = emails.select(*keep, F.posexplode(segments.split_segments(F.col(text))).alias("position", "segment"))
-    return rows
+    return posexplode_once(emails, list(keep), segments.split_segments(F.col(text)), "position", "segment")
 
 
 def analyzable(texts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:

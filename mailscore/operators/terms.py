@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from mailscore import constants as c
 from mailscore.functions import text as tx
+from mailscore.operators.once import explode_once
 from mailscore.session import ensure_checkpoint_dir
 
 BROADCAST_TERMS = 1_000_000
@@ -59,7 +60,7 @@ def candidate_words(
     words than places, or more candidates than ``CANDIDATE_WORDS``.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    words = df.select(F.explode(_words(F.col(text), stop_words)).alias("word"))
+    words = explode_once(df, [], _words(F.col(text), stop_words), "word")
     counts = words.groupBy("word").agg(F.count("*").alias("n")).checkpoint()
     # every frequency has a word or more, so the first ``size`` frequencies reach the last place
     steps = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).limit(size).collect()
@@ -84,7 +85,7 @@ def term_frequencies(
     once = F.transform(
         F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
     )
-    rows = terms.select(F.inline(F.concat(each, once)))
+    rows = explode_once(terms, [], F.concat(each, once), "t").select("t.*")
     candidates = candidate_words(df, text, candidates_for, stop_words) if candidates_for else None
     if candidates is not None:
         known = F.broadcast(candidates)  # at most CANDIDATE_WORDS
@@ -172,7 +173,7 @@ def score_by_terms(
     of them go to every executor, a longer list is joined by a shuffle.
     """
     terms = add_terms(texts, text, stop_words=weights.stop_words)
-    rows = terms.select(*keys, F.explode(F.array_distinct("terms")).alias("term"))
+    rows = explode_once(terms, keys, F.array_distinct("terms"), "term")
     known = differences.select("term", "diff")
     known = F.broadcast(known) if len(weights.terms) <= BROADCAST_TERMS else known
     averaged = rows.join(known, "term").groupBy(*keys).agg(F.count("*").alias("matched"), F.avg("diff").alias("avg_score"))

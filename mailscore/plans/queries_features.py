@@ -9,6 +9,7 @@ from mailscore import constants as c
 from mailscore.functions import risk
 from mailscore.functions import text as tx
 from mailscore.operators import quality, schema, scoring, store, trust
+from mailscore.operators.once import explode_once
 from mailscore.plans import oracle as o
 from mailscore.plans.registry import R
 from mailscore.sources import fixtures as fx
@@ -171,7 +172,7 @@ def trusted_domain(spark, sf):
 )
 def trusted_by_table(spark, sf):
     """Link and page domains against a trust list held as a table (here: the sender domains)."""
-    links = texts(spark, sf).select(F.explode(tx.link_domains(tx.urls(F.col("text")))).alias("domain"))
+    links = explode_once(texts(spark, sf), [], tx.link_domains(tx.urls(F.col("text"))), "domain")
     pages = fx.text_table(spark, sf, "pages").select(
         F.split_part(F.lower(F.regexp_extract("url", c.LINK_DOMAIN_RE, 1)), F.lit(":"), F.lit(1)).alias("domain")
     )
