@@ -11,6 +11,13 @@ PAYLOAD_SCHEMA = (
 )
 
 
+# Zone names that mail dates may carry.
+ZONES = [
+    ("UT|UTC|GMT|Z", "+0000"), ("EST|CDT", "-0500"), ("EDT|AST", "-0400"), ("CST|MDT", "-0600"),
+    ("MST|PDT", "-0700"), ("PST", "-0800"),
+]
+
+
 def header(headers: Column, name: str) -> Column:
     """Value of a header, the last one of that name; empty if there is none."""
     named = F.filter(headers, lambda h: h["name"] == name)
@@ -18,12 +25,21 @@ def header(headers: Column, name: str) -> Column:
 
 
 def decoded(data: Column) -> Column:
-    """URL-safe base64 to text, bytes that are no UTF-8 dropped; null if it is no base64."""
-    plain = F.translate(data, "-_", "+/")
+    """URL-safe base64 to text; foreign characters and bytes that are no UTF-8 are dropped, null if it is cut short."""
+    plain = F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/=]", "")
     raw = F.try_to_binary(plain, F.lit("base64"))
     return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
 
 
+def malformed(payload: Column) -> Column:
+    """A part, or the message if it has none, lacks its type, or a plain part its body."""
+    bad_part = F.exists(
+        payload["parts"],
+        lambda p: p["mimeType"].isNull() | ((p["mimeType"] == "text/plain") & p["body"].isNull()),
+    )
+    return F.coalesce(bad_part, payload["mimeType"].isNull())
+
+
 def body_of(payload: Column) -> Column:
     """All plain-text parts; an HTML part only while there is no text yet.
 
@@ -45,9 +61,9 @@ def body_of(payload: Column) -> Column:
 def mail_date(text: Column, otherwise: Column | None = None) -> Column:
     """An Internet mail date as a timestamp; ``otherwise`` (default: now) if it is none."""
     bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*|\s*\([^)]*\)\s*$", "")
-    bare = F.regexp_replace(bare, r"\s+(GMT|UT|UTC|Z)$", " +0000")
-    read = F.coalesce(
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm Z")),
-    )
+    for names, offset in ZONES:
+        bare = F.regexp_replace(bare, rf"\s+({names})$", f" {offset}")
+    bare = F.when(F.rlike(bare, F.lit(r"\s[+-]\d{4}$")), bare).otherwise(F.concat(bare, F.lit(" +0000")))
+    forms = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z"]
+    read = F.coalesce(*[F.try_to_timestamp(bare, F.lit(form)) for form in forms])
     return F.coalesce(read, F.current_timestamp() if otherwise is None else otherwise)

@@ -39,8 +39,10 @@ def threshold_sweep(
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:
-    """The threshold with the highest F1; the lowest of equals."""
-    return sweep.orderBy(F.col("weighted_f1").desc(), F.col("threshold")).limit(1)
+    """The threshold with the highest F1; the lowest of equals, and the default where none is above 0."""
+    useless = F.abs(F.col("threshold") - c.DEFAULT_THRESHOLD)
+    tie = F.when(F.col("weighted_f1") > 0, F.col("threshold")).otherwise(useless)
+    return sweep.orderBy(F.col("weighted_f1").desc(), tie).limit(1)
 
 
 def classification_report(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

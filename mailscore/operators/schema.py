@@ -24,7 +24,8 @@ def text_expression(df: DataFrame, preferred: str | None = None) -> Column:
     if preferred and preferred.lower() in names:
         return F.col(preferred.lower())
     if "subject" in names and "email_text" in names:
-        return tx.join_subject(F.col("subject"), F.coalesce(F.col("email_text"), F.lit("")))
+        neither = F.col("subject").isNull() & F.col("email_text").isNull()
+        return F.when(~neither, F.concat_ws(" ", "subject", "email_text"))
     for name in ("email_text", "subject"):
         if name in names:
             return F.col(name)

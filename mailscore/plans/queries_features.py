@@ -105,7 +105,7 @@ def subject_and_body(spark, sf):
 
 @R.query(
     "prj2_text_column",
-    "SELECT doc_id, CASE WHEN length(lang) > 0 THEN concat(lang, ' ', coalesce(text, '')) ELSE text END AS text FROM documents",
+    "SELECT doc_id, CASE WHEN lang IS NOT NULL OR text IS NOT NULL THEN concat_ws(' ', lang, text) END AS text FROM documents",
 )
 def text_column(spark, sf):
     """A table with subject and email_text and no preferred column."""

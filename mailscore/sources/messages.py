@@ -21,6 +21,7 @@ def flatten_messages(raw: DataFrame, json_column: str = "payload_json", keep: tu
     reject = (
         F.when(F.col("message_id").isNull(), F.lit("no message id"))
         .when(F.col("p").isNull(), F.lit("no payload"))
+        .when(mime.malformed(F.col("p")), F.lit("part without type or body"))
         .when(F.col("body").isNull(), F.lit("body not decodable"))
     )
     flat = parsed.withColumn("body", mime.body_of(F.col("p"))).select(

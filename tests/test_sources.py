@@ -145,12 +145,17 @@ def test_headers_dates_and_rejects(spark):
     ok = message(mimeType="text/plain", body={}, headers={"Subject": "s", "From": "a@b.c", "Date": "Sat, 25 Jan 2026 10:00:00 +0700"})
     twice = json.dumps({"id": "t", "payload": {"mimeType": "text/plain", "body": {}, "headers": [
         {"name": "Subject", "value": "old"}, {"name": "Subject", "value": "new"}]}})
-    bad = message(mimeType="text/plain", body={"data": "%%%"})
-    got = flat(spark, ok, twice, bad, "not json")
+    bad = message(mimeType="text/plain", body={"data": "YWJjZ"})
+    typeless = message(mimeType="multipart/mixed", parts=[{"body": {"data": b64("x")}}])
+    noise = message(mimeType="text/plain", body={"data": "Y%W\nJj"}, headers={"Date": "5 Feb 2024 07:30 EST"})
+    got = flat(spark, ok, twice, bad, "not json", typeless, noise)
     assert (got[0].subject, got[0].sender, got[0].recipient, got[0].body) == ("s", "a@b.c", "", "")
     assert got[0].received_at.isoformat() == "2026-01-25T03:00:00"
     assert got[1].subject == "new" and got[1].received_at is not None
-    assert [r.reject is None for r in got] == [True, True, False, False]
+    assert [r.reject is None for r in got] == [True, True, False, False, False, True]
+    assert got[5].body == "abc" and got[5].received_at.isoformat() == "2024-02-05T12:30:00"
+    good, rejected = messages.split_rejects(messages.flatten_messages(spark.createDataFrame([(bad,), (ok,)], "payload_json string")))
+    assert (good.count(), rejected.count()) == (1, 1)
 
 
 def test_ad_hoc_ids_do_not_collide(spark):

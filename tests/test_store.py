@@ -151,6 +151,11 @@ def test_sweep_and_report(spark, rows):
     assert report["1"].support == sum(y for y, _ in rows)
 
 
+def test_useless_sweep_keeps_the_default(spark):
+    df = spark.createDataFrame([(1, 0.0)], "label int, probability double")
+    assert evaluation.best_threshold(evaluation.threshold_sweep(df)).first().threshold == 0.5
+
+
 def term_counts(docs):
     cf, df = Counter(), Counter()
     for doc in docs:
