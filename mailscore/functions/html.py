@@ -1,0 +1,49 @@
+"""Text of HTML by a full parser, for pages the portable expressions cannot read (unclosed tags, rare references)."""
+
+from __future__ import annotations
+
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+class _Text(HTMLParser):
+    """Collects text nodes, but for scripts and styles."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+        self.silent: str | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.silent = tag
+
+    def handle_endtag(self, tag):
+        if tag == self.silent:
+            self.silent = None
+
+    def handle_data(self, data):
+        if self.silent is None:
+            self.found.append(data)
+
+
+def _text_of(html: str | None) -> str:
+    if not html or "<" not in html or ">" not in html:
+        return html or ""
+    parser = _Text()
+    parser.feed(html)
+    parser.close()
+    return " ".join(parser.found)
+
+
+def parsed_text(html: Column) -> Column:
+    """As ``text.strip_html``, by the parser; batches go to Python by Arrow."""
+
+    @F.pandas_udf("string")
+    def text_of(batch: pd.Series) -> pd.Series:
+        return batch.map(_text_of)
+
+    return text_of(html)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailscore import constants as c
+from mailscore.functions.html import parsed_text
 
 
 def portable(pattern: str) -> str:
@@ -60,8 +61,9 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(blanked, " {2,}", " "))
 
 
-def normalize_text(text: Column) -> Column:
-    return collapse_ws(strip_html(text))
+def normalize_text(text: Column, parse: bool = False) -> Column:
+    """Bare text on one line; with ``parse`` HTML is read by a full parser, in Python."""
+    return collapse_ws(parsed_text(text) if parse else strip_html(text))
 
 
 def join_subject(subject: Column, body: Column) -> Column:

@@ -41,7 +41,7 @@ def first_arrivals(emails: DataFrame, keys: list[str] | None = None, row_id: str
 def keyed_insert(incoming: DataFrame, stored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The incoming rows to add: first per key, key not stored yet."""
     keys = keys or MESSAGE_KEY
-    return first_arrivals(incoming, keys).join(stored.select(*keys), keys, "left_anti")
+    return missing_from(first_arrivals(incoming, keys), stored, keys)
 
 
 def resolve_insert(incoming: DataFrame, stored: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -58,9 +58,14 @@ def resolve_insert(incoming: DataFrame, stored: DataFrame, keys: list[str] | Non
     return incoming.join(ranking.broadcast_if_small(owner), keys)
 
 
+def missing_from(table: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys the other table does not hold; its repeated keys are made one on the map side."""
+    return table.join(other.select(*keys).distinct(), keys, "left_anti")
+
+
 def orphans(predictions: DataFrame, emails: DataFrame) -> DataFrame:
     """Predictions whose email is gone."""
-    return predictions.join(emails.select("email_id"), "email_id", "left_anti")
+    return missing_from(predictions, emails, ["email_id"])
 
 
 # ------------------------------------------------------------------------ latest
@@ -131,13 +136,16 @@ def of_user(emails: DataFrame, user_id: int | Column) -> DataFrame:
 
 
 def lookup(table: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows with the wanted keys: one id, one (user, message id), or a whole table of them."""
-    return table.join(wanted.select(*keys), keys, "left_semi")
+    """The rows with the wanted keys: one id, one (user, message id), or a whole table of them.
+
+    Keys asked for again and again are made one on the map side.
+    """
+    return table.join(wanted.select(*keys).distinct(), keys, "left_semi")
 
 
 def select_emails(emails: DataFrame, selected: DataFrame) -> DataFrame:
     """Emails whose id is in the selection."""
-    return emails.join(selected.select("email_id"), "email_id", "left_semi")
+    return lookup(emails, selected, ["email_id"])
 
 
 def split_owned(requests: DataFrame, emails: DataFrame) -> tuple[DataFrame, DataFrame]:

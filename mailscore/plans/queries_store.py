@@ -280,7 +280,7 @@ def history_with_email(spark, sf):
 def unseen_messages(spark, sf):
     """Emails that no prediction has flagged."""
     flagged = fx.predictions(spark, sf).where(F.col("prediction") == 1)
-    return store.orphans(fx.emails(spark, sf), flagged).select(*EMAIL)
+    return store.missing_from(fx.emails(spark, sf), flagged, ["email_id"]).select(*EMAIL)
 
 
 @R.query("jn4_orphan_predictions", "SELECT prediction_id, email_id FROM predictions WHERE email_id NOT IN (SELECT email_id FROM emails)")

@@ -7,12 +7,14 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Adaptive execution splits skewed join partitions and coalesces small ones;
-# broadcasts stay behind Spark's own size check.
+# Adaptive execution splits skewed join partitions, also where that costs a
+# further shuffle, and coalesces small ones; broadcasts stay behind Spark's own
+# size check.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # plans hold many small expressions; noting the call site of each doubles the time to build them

@@ -22,16 +22,27 @@ def write_metadata(summary: DataFrame, path: str) -> None:
     summary.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """A table cut by the hash of a key: joins and groups on the key need no shuffle.
+
+    Emails and predictions that are joined again and again are kept so, by
+    email_id and with the same number of buckets. Rows come together by key
+    before the write, so every bucket is one file.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def prediction_key(*parts: str | Column) -> Column:
     """A key that a repeated run computes again, so that appended records can be told apart."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
-def prediction_records(scored: DataFrame, model_version: str, run: str = "") -> DataFrame:
-    """prediction_key, email_id, prediction, probability, model_version of scored emails."""
+def prediction_records(scored: DataFrame, model_version: str, run: str = "", row_id: str = "email_id") -> DataFrame:
+    """prediction_key, email_id, prediction, probability, model_version of scored emails (or requests)."""
     version = F.coalesce(F.lit(model_version), F.lit("unknown"))
     return scored.select(
-        prediction_key(F.col("email_id").cast("string"), version, F.lit(run)).alias("prediction_key"),
+        prediction_key(F.col(row_id).cast("string"), version, F.lit(run)).alias("prediction_key"),
         "email_id",
         "prediction",
         "probability",

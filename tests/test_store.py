@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from mailscore import constants as c
 from mailscore.operators import analytics, evaluation, quality, ranking, scoring, store, trust
 from mailscore.operators import terms as tm
+from mailscore.plans import score as score_module
 from mailscore.plans import train as tr
 from mailscore.plans.score import score_table
+from mailscore.sources import sinks
 
 few = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -258,6 +260,28 @@ def test_model_round_trip_and_scoring(spark, trained, tmp_path):
     assert got[2].classification == "LEGITIMATE" and got[1].prediction == 1
 
 
+def test_bulk_run(spark, trained):
+    emails = spark.createDataFrame([(1, 10, "verify account prize"), (2, 20, "meeting agenda")], "email_id bigint, user_id bigint, body string")
+    asked = spark.createDataFrame([(100, 1, 10), (101, 1, 10), (102, 2, 10), (103, 9, 10)], "request_id bigint, email_id bigint, user_id bigint")
+    records, outcome = score_module.analyze_requests(asked, emails, trained.model)
+    got = records.collect()
+    assert [(r.email_id, r.prediction) for r in got] == [(1, 1), (1, 1)] and len({r.prediction_key for r in got}) == 2
+    assert tuple(scoring.outcome_counts(outcome).first()) == (4, 2, 2)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    emails = spark.range(100).withColumnRenamed("id", "email_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("bucketed_emails", "bucketed_predictions"):
+            sinks.write_bucketed(emails, name, "email_id", 4, str(tmp_path / name))
+        joined = spark.table("bucketed_emails").join(spark.table("bucketed_predictions"), "email_id")
+        assert joined.count() == 100
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_saved_model_defaults(spark, trained, tmp_path):
     trained.model.save(spark, str(tmp_path / "model"))
     spark.createDataFrame([("x",)], "other string").write.mode("overwrite").json(str(tmp_path / "model" / "params"))

@@ -82,6 +82,15 @@ def test_html_and_white_space(spark):
     assert one(spark, "　 x y \x85", tx.ws_trim) == "x y"
 
 
+def test_parser_agrees_with_expressions(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(
+        tx.normalize_text(F.col("html")).alias("a"), tx.normalize_text(F.col("html"), parse=True).alias("b")
+    )
+    assert pages.count() > 0 and pages.where("a != b or a is null or b is null").count() == 0
+    rare = "<p>x &sum; <script>never closed <b>"
+    assert one(spark, rare, lambda x: tx.normalize_text(x, parse=True)) == "x ∑"
+
+
 def test_links_and_addresses(spark):
     text = "See HTTPS://Up.com and www.Google.com/x http://a.b:80/q http://a.b?z."
     assert one(spark, text, lambda x: tx.url_count(tx.urls(x))) == 4
