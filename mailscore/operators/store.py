@@ -64,8 +64,8 @@ def missing_from(table: DataFrame, other: DataFrame, keys: list[str]) -> DataFra
 
 
 def orphans(predictions: DataFrame, emails: DataFrame) -> DataFrame:
-    """Predictions whose email is gone."""
-    return missing_from(predictions, emails, ["email_id"])
+    """Predictions whose email is gone. Ids of emails are unique, so the join can split an email with many predictions."""
+    return predictions.join(emails.select("email_id"), "email_id", "left_anti")
 
 
 # ------------------------------------------------------------------------ latest
