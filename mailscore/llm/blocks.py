@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,15 @@ from pyspark.sql import functions as F
 ROWS = 1000  # rows of an Arrow batch that are worked on at once
 
 
+def importable(spark) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it; on a cluster it is installed
+    or sent along with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -49,3 +58,17 @@ def mix(values: np.ndarray, salt: int) -> np.ndarray:
 def crc_mod(column: str, mod: int):
     """Remainder of the CRC-32 of an id as text; null where the id is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
+
+
+def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of every run of n neighbouring hashes."""
+    out = hashes[: max(0, len(hashes) - n + 1)].copy()
+    for i in range(n):
+        out = mix(out ^ hashes[i : i + len(out)] if i else out, n)
+    return out
+
+
+def flat_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts in one list, and where each text ends in it; split at ASCII white space."""
+    parts = [t.split() for t in texts]
+    return [w for p in parts for w in p], np.cumsum([len(p) for p in parts], dtype=np.int64)
