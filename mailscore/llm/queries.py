@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailscore.llm import decontaminate, language_id, packing, token_counts
+from mailscore.llm import decontaminate, language_id, minhash, packing, substring_dedup, token_counts
 from mailscore.llm.blocks import crc_mod, documents
 
 
@@ -24,10 +24,18 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_language_id, op6_best_fit_packing, op9_benchmark_decontamination)}
+def op10_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for name, f in list(globals().items()) if name.startswith("op")}
 
 ORACLES: dict[str, str] = {}
