@@ -70,7 +70,7 @@ def has_letter(texts: list[str | None]) -> list[bool]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
-    """Learns from every row with a text and a language; at least one such row with a letter is needed."""
+    """Learns from every row with a text and a language. Without any such row the model knows no language."""
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
     summed = rows.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = summed.toPandas()  # at most languages x (cells + 1) rows
     if table.empty:
-        raise ValueError("no row has a text and a language")
+        return Model([], np.zeros(0), np.zeros((0, CELLS)))
     langs = sorted(table["lang"].unique())
     counts, docs_of = np.zeros((len(langs), CELLS)), np.zeros(len(langs))
     at = table["lang"].map({name: i for i, name in enumerate(langs)}).to_numpy()
@@ -109,6 +109,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothi
 
 def score(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and its posterior probability; ``und`` and 0 for a text that is null or has no letter."""
+    if not model.langs:
+        return [UNDETERMINED] * len(texts), [0.0] * len(texts)
     total = np.tile(model.log_prior, (len(texts), 1))
     for rows, cells in grams(texts):
         if len(rows):

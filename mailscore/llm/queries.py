@@ -5,14 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from mailscore.llm import decontaminate, language_id, minhash, packing, substring_dedup, token_counts
-from mailscore.llm.blocks import crc_mod, documents
+from mailscore.llm import decontaminate, embeddings, language_id, licenses, minhash, packing, scoring_lm, substring_dedup, surrogates, token_counts
+from mailscore.llm.blocks import crc_mod, documents, importable
+
+KEY = "surrogates of the test tables"  # a real run takes its key from a secret store
 
 
 def op1_token_counts(spark, sf_dir):
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_lm_scoring(spark, sf_dir):
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
+    return scoring_lm.score(documents(spark, sf_dir), crc_mod("doc_id", 7) != 2, fold)
+
+
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op4_pii_surrogates(spark, sf_dir):
+    return surrogates.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), KEY)
+
+
 def op5_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = language_id.fit(language_id.training_rows(docs))
@@ -24,6 +39,11 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_embedding_near_dedup(spark, sf_dir):
+    importable(spark)
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(documents(spark, sf_dir)).drop("kept")
 
