@@ -95,6 +95,7 @@ FACTOR_BOTH_TRUSTED, FACTOR_ONE_TRUSTED = 0.6, 0.8
 DEFAULT_THRESHOLD = 0.5
 SUSPICIOUS_MARGIN = 0.2
 LEGITIMATE, SUSPICIOUS, PHISHING = "LEGITIMATE", "SUSPICIOUS", "PHISHING"
+NOT_SCORED = "NOT_SCORED"  # no model probability, so no score
 SCORE_DECIMALS = 6
 
 # Threshold sweep of the evaluation, in order (the first best one wins).

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def percent(p: Column, decimals: int = 2) -> Column:
-    return F.concat(F.format_string(f"%.{decimals}f", p * 100), F.lit("%"))
+    return F.when(p.isNotNull(), F.concat(F.format_string(f"%.{decimals}f", p * 100), F.lit("%")))
 
 
 def badge(prediction: Column) -> Column:

@@ -78,20 +78,23 @@ def trust_factor(sender: Column, links: Column) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    """Limited to 0 and 1; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def verdict(score: Column, threshold: float = c.DEFAULT_THRESHOLD, margin: float = c.SUSPICIOUS_MARGIN) -> Column:
-    """Three levels; a score on a cut point belongs to the level above it."""
+    """Three levels; a score on a cut point belongs to the level above it. No score is a level of its own."""
     return (
-        F.when(score < F.lit(threshold), F.lit(c.LEGITIMATE))
+        F.when(score.isNull(), F.lit(c.NOT_SCORED))
+        .when(score < F.lit(threshold), F.lit(c.LEGITIMATE))
         .when(score < F.lit(threshold) + F.lit(margin), F.lit(c.SUSPICIOUS))
         .otherwise(F.lit(c.PHISHING))
     )
 
 
 def prediction(classification: Column) -> Column:
-    return (classification != c.LEGITIMATE).cast("int")
+    """1 for the upper two levels, 0 for the lowest, null where there is no score."""
+    return F.when(classification != c.NOT_SCORED, (classification != c.LEGITIMATE).cast("int"))
 
 
 def round6(x: Column) -> Column:

@@ -45,7 +45,7 @@ def sliced_row_number(
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner equi-join in which null keys meet too, so that no row is lost."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    same = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
     return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
 
 
@@ -61,17 +61,30 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "position") -> DataFrame:
-    """The first ``k`` rows of every group; each task sends on at most ``k`` rows of a group."""
-    if k > GROUP_LIMIT:
-        raise ValueError(f"at most {GROUP_LIMIT} rows per group; use sliced_row_number beyond")
+    """The first ``k`` rows of every group; up to the limit above each task sends on at most ``k`` rows of a group."""
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(name) <= k)
 
 
 def group_pages(
-    df: DataFrame, keys: list[str], order: list[Column], limit: int, offset: int = 0, name: str = "position"
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    slice_column: Column,
+    limit: int,
+    offset: int = 0,
+    most: int | None = None,
+    name: str = "position",
 ) -> DataFrame:
-    """Rows offset + 1 to offset + limit of every group."""
+    """Rows offset + 1 to offset + limit of every group, newest first.
+
+    Deep pages are numbered stretch by stretch (``slice_column``), so that no task holds a whole group.
+    """
+    if not 1 <= limit <= (most or limit) or offset < 0:
+        raise ValueError(f"limit must be 1 to {most}, offset 0 or more")
+    if offset + limit > GROUP_LIMIT:
+        ranked = sliced_row_number(df, keys, slice_column, order, True, name)
+        return ranked.where((F.col(name) > offset) & (F.col(name) <= offset + limit))
     return first_per_group(df, keys, order, offset + limit, name).where(F.col(name) > offset)
 
 

@@ -74,7 +74,7 @@ def add_verdict(
             "prediction": risk.prediction(F.col("classification")),
             "is_phishing": F.col("classification") == c.PHISHING,
             "is_suspicious": F.col("classification") == c.SUSPICIOUS,
-            "is_flagged": F.col("classification") != c.LEGITIMATE,
+            "is_flagged": F.col("classification").isin(c.SUSPICIOUS, c.PHISHING),
         }
     )
 
@@ -89,7 +89,7 @@ def score_emails(
     use_link_domains: bool = True,
     compat_serving_defaults: bool = False,
 ) -> DataFrame:
-    """Features, risks, score and verdict of every email that has a model probability."""
+    """Features, risks, score and verdict of every email; without a model probability the score is null, NOT_SCORED."""
     features = extract_features(emails, text, overrides, compat_serving_defaults)
     return add_verdict(add_risks(features, probability, use_link_domains), threshold, margin)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,16 @@ def first_arrivals(emails: DataFrame, keys: list[str] | None = None, row_id: str
 
     Only keys that occur more than once travel: they are found on the narrow key
     columns and the later copies are cut from the table by an anti-join. While
-    the list of such keys is small the bodies are not shuffled at all.
+    the list of such keys is small the bodies are not shuffled at all. A row that
+    was delivered again, with its id, counts once; rows with a null in their key
+    have no key in common with another row and all stay.
     """
     keys = keys or MESSAGE_KEY
+    again = emails.where(F.col(row_id).isNotNull()).groupBy(*keys, row_id).count().where("count > 1")
+    if not again.isEmpty():
+        emails = emails.where(F.col(row_id).isNull()).unionByName(
+            emails.where(F.col(row_id).isNotNull()).dropDuplicates([*keys, row_id])
+        )
     repeated = (
         emails.groupBy(*keys)
         .agg(F.count("*").alias("_n"), F.min(row_id).alias("_first"))
@@ -47,15 +57,18 @@ def keyed_insert(incoming: DataFrame, stored: DataFrame, keys: list[str] | None
 def resolve_insert(incoming: DataFrame, stored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """For every incoming row the id of the row that holds its key: a stored one, else the first arrival."""
     keys = keys or MESSAGE_KEY
+    asked = ranking.broadcast_if_small(incoming.select(*keys).distinct())
+    same = reduce(and_, [F.col(f"s.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys])
+    held = stored.select(*keys, "email_id").alias("s").join(asked.alias("a"), same, "left_semi")
     everything = incoming.select(*keys, "email_id", F.lit(0).alias("_old")).unionByName(
-        stored.select(*keys, "email_id", F.lit(1).alias("_old"))
+        held.select(*keys, "email_id", F.lit(1).alias("_old"))
     )
     owner = everything.groupBy(*keys).agg(
         F.coalesce(
             F.min(F.when(F.col("_old") == 1, F.col("email_id"))), F.min(F.when(F.col("_old") == 0, F.col("email_id")))
         ).alias("stored_email_id")
     )
-    return incoming.join(ranking.broadcast_if_small(owner), keys)
+    return ranking.join_null_safe(incoming, ranking.broadcast_if_small(owner), keys)
 
 
 def missing_from(table: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,7 +107,8 @@ def email_page(emails: DataFrame, user_id: int, limit: int = c.EMAIL_PAGE[0], of
 
 def email_pages(emails: DataFrame, limit: int = c.EMAIL_PAGE[0], offset: int = 0) -> DataFrame:
     """The same page for every user."""
-    return ranking.group_pages(emails, ["user_id"], newest_first("received_at", "email_id"), limit, offset)
+    order, day = newest_first("received_at", "email_id"), F.date_trunc("day", "received_at")
+    return ranking.group_pages(emails, ["user_id"], order, day, limit, offset, c.EMAIL_PAGE[1])
 
 
 def user_predictions(predictions: DataFrame, emails: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -114,7 +128,8 @@ def prediction_pages(
     predictions: DataFrame, emails: DataFrame, limit: int = c.HISTORY_PAGE[0], offset: int = 0
 ) -> DataFrame:
     """The same page of predictions for every user."""
-    return ranking.group_pages(user_predictions(predictions, emails), ["user_id"], newest_first(), limit, offset)
+    own, hour = user_predictions(predictions, emails), F.date_trunc("hour", "created_at")
+    return ranking.group_pages(own, ["user_id"], newest_first(), hour, limit, offset, c.HISTORY_PAGE[1])
 
 
 def prediction_history(predictions: DataFrame) -> DataFrame:

@@ -21,13 +21,11 @@ from pyspark.sql import functions as F
 from mailscore import constants as c
 from mailscore.functions import text as tx
 from mailscore.operators.once import explode_once
+from mailscore.operators.ranking import broadcast_if_small
 from mailscore.session import ensure_checkpoint_dir
 
 BROADCAST_TERMS = 1_000_000
 
-# Most words that a list of candidate words may hold.
-CANDIDATE_WORDS = 50_000
-
 _NO_TERMS = "cast(array() as array<string>)"
 
 
@@ -57,7 +55,7 @@ def candidate_words(
 
     These are the words as frequent as the one in the last place: a term with a
     rarer word in it has ``size`` single words before it. None if there are fewer
-    words than places, or more candidates than ``CANDIDATE_WORDS``.
+    words than places. Words that tie with the last one all count.
     """
     ensure_checkpoint_dir(df.sparkSession)
     words = explode_once(df, [], _words(F.col(text), stop_words), "word")
@@ -68,7 +66,7 @@ def candidate_words(
     for step in steps:
         reached += step.words
         if reached >= size:
-            return counts.where(F.col("n") >= step.n).select("word") if reached <= CANDIDATE_WORDS else None
+            return counts.where(F.col("n") >= step.n).select("word")
     return None
 
 
@@ -88,7 +86,7 @@ def term_frequencies(
     rows = explode_once(terms, [], F.concat(each, once), "t").select("t.*")
     candidates = candidate_words(df, text, candidates_for, stop_words) if candidates_for else None
     if candidates is not None:
-        known = F.broadcast(candidates)  # at most CANDIDATE_WORDS
+        known = broadcast_if_small(candidates)
         for end in (1, -1):  # first and last word: the same one in a single word
             rows = rows.join(known, F.substring_index("term", " ", end) == F.col("word"), "left_semi")
     return rows.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))

@@ -156,13 +156,13 @@ CTES: dict[str, tuple[list[str], str]] = {
           SELECT *, {LINKS_RISK} AS links_risk, {domain_risk('sender_domain')} AS domain_risk,
             {trusted('sender_domain')} AS sender_trusted, coalesce(share >= 0.8, false) AS links_trusted
           FROM (SELECT f.*, l.probability AS p, n_trusted::DOUBLE / nullif(n_domains, 0) AS share
-                FROM feat f JOIN latest l USING (email_id)))""",
+                FROM feat f LEFT JOIN latest l USING (email_id)))""",
     ),
     "scored": (
         ["risks"],
-        """SELECT *, CASE WHEN score < 0.5 THEN 'LEGITIMATE' WHEN score < 0.5::DOUBLE + 0.2::DOUBLE THEN 'SUSPICIOUS'
+        """SELECT *, CASE WHEN score IS NULL THEN 'NOT_SCORED' WHEN score < 0.5 THEN 'LEGITIMATE' WHEN score < 0.5::DOUBLE + 0.2::DOUBLE THEN 'SUSPICIOUS'
             ELSE 'PHISHING' END AS classification
-          FROM (SELECT *, greatest(0.0, least(1.0, base_score * trust_factor)) AS score FROM risks)""",
+          FROM (SELECT *, CASE WHEN p IS NOT NULL THEN greatest(0.0, least(1.0, base_score * trust_factor)) END AS score FROM risks)""",
     ),
     "segs": (
         ["emails"],

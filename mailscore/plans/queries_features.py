@@ -24,7 +24,7 @@ def texts(spark, sf) -> DataFrame:
 
 
 def risks(spark, sf, use_link_domains: bool = True) -> DataFrame:
-    """Emails with features and risks, the probability being that of the latest prediction.
+    """Every email with features and risks, the probability being that of the latest prediction, if there is one.
 
     The features are taken before the join, so that no text travels.
     """
@@ -32,7 +32,7 @@ def risks(spark, sf, use_link_domains: bool = True) -> DataFrame:
         fx.predictions(spark, sf).select("email_id", "prediction_id", "probability", "created_at")
     )
     features = scoring.extract_features(texts(spark, sf).select("email_id", "text")).drop("text")
-    joined = features.join(latest.select("email_id", "probability"), "email_id")
+    joined = features.join(latest.select("email_id", "probability"), "email_id", "left")
     return scoring.add_risks(joined, use_link_domains=use_link_domains)
 
 
@@ -209,10 +209,10 @@ def ensemble_score(spark, sf):
 
 @R.query(
     "sc16_without_link_domains",
-    f"""SELECT email_id, {o.r6('''greatest(0.0, least(1.0, (p * 0.6::DOUBLE + urgent_keywords * 0.15::DOUBLE
+    f"""SELECT email_id, {o.r6('''CASE WHEN p IS NOT NULL THEN greatest(0.0, least(1.0, (p * 0.6::DOUBLE + urgent_keywords * 0.15::DOUBLE
       + (CASE WHEN links_count = 0 THEN 0.0::DOUBLE WHEN links_count = 1 THEN 0.2::DOUBLE WHEN links_count <= 3 THEN 0.4::DOUBLE
          WHEN links_count <= 5 THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END) * 0.15::DOUBLE + domain_risk * 0.1::DOUBLE)
-      * CASE WHEN sender_trusted THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END))''')} AS ensemble_score FROM risks""",
+      * CASE WHEN sender_trusted THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END)) END''')} AS ensemble_score FROM risks""",
 )
 def ensemble_without_domains(spark, sf):
     """The interactive form, which does not look at link domains."""
@@ -226,8 +226,8 @@ def classification(spark, sf):
 
 @R.query(
     "sc18_flags",
-    """SELECT email_id, (classification <> 'LEGITIMATE')::INT AS prediction, classification = 'PHISHING' AS is_phishing,
-      classification = 'SUSPICIOUS' AS is_suspicious, classification <> 'LEGITIMATE' AS is_flagged FROM scored""",
+    """SELECT email_id, CASE WHEN score IS NOT NULL THEN (classification <> 'LEGITIMATE')::INT END AS prediction, classification = 'PHISHING' AS is_phishing,
+      classification = 'SUSPICIOUS' AS is_suspicious, classification IN ('SUSPICIOUS', 'PHISHING') AS is_flagged FROM scored""",
 )
 def flags(spark, sf):
     return scored(spark, sf).select("email_id", "prediction", "is_phishing", "is_suspicious", "is_flagged")
@@ -235,7 +235,7 @@ def flags(spark, sf):
 
 @R.query(
     "sc19_score_record",
-    f"""SELECT email_id, (classification <> 'LEGITIMATE')::INT AS prediction, classification, {o.r6('p')} AS probability,
+    f"""SELECT email_id, CASE WHEN score IS NOT NULL THEN (classification <> 'LEGITIMATE')::INT END AS prediction, classification, {o.r6('p')} AS probability,
       {o.r6('score')} AS ensemble_score, 0.5::DOUBLE AS threshold, 0.2::DOUBLE AS suspicious_margin,
       classification = 'PHISHING' AS is_phishing, classification = 'SUSPICIOUS' AS is_suspicious,
       links_count, has_attachment, urgent_keywords, sender_domain FROM scored""",
@@ -259,7 +259,7 @@ def score_breakdown(spark, sf):
 @R.query(
     "src15_prediction_records",
     f"""SELECT substr(sha256(concat_ws('|', email_id::VARCHAR, 'v9', 'run')), 1, 16) AS prediction_key, email_id,
-      (classification <> 'LEGITIMATE')::INT AS prediction, {o.r6('p')} AS probability, 'v9' AS model_version FROM scored""",
+      CASE WHEN score IS NOT NULL THEN (classification <> 'LEGITIMATE')::INT END AS prediction, {o.r6('p')} AS probability, 'v9' AS model_version FROM scored""",
 )
 def prediction_records(spark, sf):
     records = sinks.prediction_records(scored(spark, sf), "v9", "run")
@@ -307,18 +307,21 @@ def top_segments(spark, sf):
     "flt9_range_checks",
     """SELECT 'has_attachment' AS rule, count(*) AS checked, 0::BIGINT AS violations FROM scored UNION ALL
     SELECT 'urgent_keywords', count(*), 0 FROM scored UNION ALL SELECT 'links_count', count(*), 0 FROM scored UNION ALL
-    SELECT 'probability', count(v), count_if(v < 0 OR v > 1) FROM (SELECT e.value / 10 AS v FROM feat JOIN (SELECT event_id % 1000 AS email_id,
+    SELECT 'probability', count(v), count_if(v < 0 OR v > 1) FROM (SELECT e.value / 10 AS v FROM feat LEFT JOIN (SELECT event_id % 997 AS email_id,
       max_by(value, struct_pack(ts := ts, event_id := event_id)) AS value FROM events GROUP BY 1) e USING (email_id)) UNION ALL
-    SELECT 'ensemble_score', count(*), 0 FROM scored UNION ALL SELECT 'prediction', count(*), 0 FROM scored""",
+    SELECT 'ensemble_score', count(v), 0 FROM (SELECT e.value / 10 AS v FROM feat LEFT JOIN (SELECT event_id % 997 AS email_id,
+      max_by(value, struct_pack(ts := ts, event_id := event_id)) AS value FROM events GROUP BY 1) e USING (email_id)) UNION ALL
+    SELECT 'prediction', count(v), 0 FROM (SELECT e.value / 10 AS v FROM feat LEFT JOIN (SELECT event_id % 997 AS email_id,
+      max_by(value, struct_pack(ts := ts, event_id := event_id)) AS value FROM events GROUP BY 1) e USING (email_id))""",
 )
 def range_checks(spark, sf):
     """Scores made from a probability column that partly lies outside 0 to 1 (the latest event value over ten)."""
     events = fx.table(spark, sf, "events")
-    latest = events.groupBy((F.col("event_id") % 1000).alias("email_id")).agg(
+    latest = events.groupBy((F.col("event_id") % 997).alias("email_id")).agg(
         F.max_by("value", F.struct("ts", "event_id")).alias("value")
     )
     features = scoring.extract_features(texts(spark, sf).select("email_id", "text")).drop("text")
-    given = features.join(latest, "email_id").withColumn("probability", F.col("value") / 10)
+    given = features.join(latest, "email_id", "left").withColumn("probability", F.col("value") / 10)
     return quality.rule_counts(scoring.add_verdict(scoring.add_risks(given)))
 
 

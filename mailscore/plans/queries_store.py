@@ -67,7 +67,7 @@ KNOWN_SQL = _digest_sql("'old:' || lang", "documents")
 @R.query(
     "src8_dataset_memory",
     f"""SELECT dataset, fingerprint, CASE WHEN fingerprint IN (SELECT fingerprint FROM ({KNOWN_SQL})) THEN '[SKIP]'
-    ELSE '[CACHE]' END AS status FROM ({INCOMING_SQL})""",
+    WHEN dataset > min(dataset) OVER (PARTITION BY fingerprint) THEN '[SKIP]' ELSE '[CACHE]' END AS status FROM ({INCOMING_SQL})""",
 )
 def dataset_memory(spark, sf):
     return memory.with_status(incoming_sets(spark, sf), known_sets(spark, sf))
@@ -223,11 +223,14 @@ def first_arrivals(spark, sf):
 
 @R.query(
     "src14_resolved_ids",
-    "SELECT email_id, min(email_id) OVER (PARTITION BY user_id, message_id) AS stored_email_id FROM emails",
+    """SELECT email_id, coalesce(min(email_id) FILTER (label IS NOT NULL) OVER w, min(email_id) OVER w) AS stored_email_id
+      FROM emails WINDOW w AS (PARTITION BY user_id, message_id)""",
 )
 def resolved_ids(spark, sf):
-    e = fx.emails(spark, sf).select(*EMAIL)
-    return store.resolve_insert(e, e.limit(0)).select("email_id", "stored_email_id")
+    """All emails arrive; those with a label are stored already, under the ids they have."""
+    e = fx.emails(spark, sf)
+    stored = e.where(F.col("label").isNotNull()).select(*EMAIL)
+    return store.resolve_insert(e.select(*EMAIL), stored).select("email_id", "stored_email_id")
 
 
 @R.query(

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import (
-    FeatureHasher,
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
@@ -27,8 +26,6 @@ from mailscore.session import ensure_checkpoint_dir
 
 # Up to this many sender domains get a column each; more are hashed, as the
 # list of columns is kept on the driver.
-INDEXED_DOMAINS = 100_000
-HASHED_DOMAIN_COLUMNS = 1 << 18
 HASH_SLICE_BITS = 14
 
 
@@ -110,19 +107,11 @@ def fit_features(train: DataFrame, settings: Settings) -> tuple[PipelineModel, D
     """(fitted feature stages, training rows with the ``features`` vector)."""
     weights = tm.Weights.fit(train, "text", settings.vocabulary, settings.stop_words)
     rows = tm.add_terms(train, "text", stop_words=settings.stop_words)
-    n_domains = train.agg(F.count_distinct("sender_domain").alias("n")).first().n
-    if n_domains <= INDEXED_DOMAINS:
-        # the last index stands for unseen domains and is the one left out of the one-hot columns
-        domain = [
-            StringIndexer(inputCol="sender_domain", outputCol="_domain", handleInvalid="keep"),
-            OneHotEncoder(inputCol="_domain", outputCol="_domain_columns", dropLast=True),
-        ]
-    else:
-        domain = [
-            FeatureHasher(
-                inputCols=["sender_domain"], outputCol="_domain_columns", numFeatures=HASHED_DOMAIN_COLUMNS
-            )
-        ]
+    # one column per known domain; the last index stands for unseen ones and is left out of the one-hot columns
+    domain = [
+        StringIndexer(inputCol="sender_domain", outputCol="_domain", handleInvalid="keep"),
+        OneHotEncoder(inputCol="_domain", outputCol="_domain_columns", dropLast=True),
+    ]
     stages = [
         *weights.stages("terms", "_tfidf"),
         VectorAssembler(inputCols=c.FEATURE_NUMERIC, outputCol="_numbers"),

@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from mailscore import constants as c
 from mailscore.operators.schema import normalize_columns
 from mailscore.sources import readers
 
-# Files above this size are not hashed by one task but as a set of lines.
-WHOLE_FILE_BYTES = 512 * 1024 * 1024
+MANY_SPLITS = 200_000  # rows of a broadcast; beyond it the lines are joined by a shuffle
 _CHUNKS, _CHUNK_HEX = 4, 15
 
 
@@ -41,20 +41,30 @@ def multiset_digest(sha: Column) -> Column:
 
 
 def file_fingerprints(spark: SparkSession, paths: list[str], head_bytes: int | None = None) -> DataFrame:
-    """path, fingerprint of files: SHA-256 of all bytes (or of the first ``head_bytes``).
+    """path, fingerprint of text files: a digest of their numbered lines, whatever the size and the splits of a file.
 
-    A file too large for one task is fingerprinted as a set of lines instead.
+    A line's number is its place in its split plus the lines of the splits before; so files with the same lines in
+    another order differ. With ``head_bytes`` only the beginning counts: SHA-256 of so many bytes.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    large = [r.path for r in files.where(F.col("length") > WHOLE_FILE_BYTES).select("path").collect()]
-    content = F.col("content") if head_bytes is None else F.substring("content", 1, head_bytes)
-    whole = files.where(F.col("length") <= WHOLE_FILE_BYTES).select(
-        "path", F.substring(F.sha2(content, 256), 1, c.FINGERPRINT_CHARS).alias("fingerprint")
+    if head_bytes is not None:
+        head = F.sha2(F.substring("content", 1, head_bytes), 256)
+        files = spark.read.format("binaryFile").load(paths)
+        return files.select("path", F.substring(head, 1, c.FINGERPRINT_CHARS).alias("fingerprint"))
+    split = ["path", "block"]
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        "value",
     )
-    if not large:
-        return whole
-    lines = spark.read.text(large).select(F.col("_metadata.file_path").alias("path"), F.sha2("value", 256).alias("sha"))
-    return whole.unionByName(lines.groupBy("path").agg(multiset_digest(F.col("sha")).alias("fingerprint")))
+    sizes = lines.groupBy(*split).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*split, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = lines.join(F.broadcast(starts) if starts.count() <= MANY_SPLITS else starts, split)
+    sha = F.sha2(F.concat_ws("|", F.col("id") + F.col("shift"), "value"), 256)
+    found = numbered.groupBy("path").agg(multiset_digest(sha).alias("fingerprint"))
+    empty = spark.read.format("binaryFile").load(paths).where("length = 0").select("path")
+    return found.unionByName(empty.select("path", F.substring(F.sha2(F.lit(""), 256), 1, c.FINGERPRINT_CHARS).alias("fingerprint")))
 
 
 def unseen(incoming: DataFrame, manifest: DataFrame, key: str = "fingerprint") -> DataFrame:
@@ -62,11 +72,15 @@ def unseen(incoming: DataFrame, manifest: DataFrame, key: str = "fingerprint") -
     return incoming.dropDuplicates([key]).join(manifest.select(key), key, "left_anti")
 
 
-def with_status(incoming: DataFrame, manifest: DataFrame, key: str = "fingerprint") -> DataFrame:
-    """Adds status: ``[SKIP]`` where the manifest holds the key, else ``[CACHE]``."""
-    known = manifest.select(key)
-    skipped = incoming.join(known, key, "left_semi").withColumn("status", F.lit("[SKIP]"))
-    return skipped.unionByName(incoming.join(known, key, "left_anti").withColumn("status", F.lit("[CACHE]")))
+def with_status(
+    incoming: DataFrame, manifest: DataFrame, key: str = "fingerprint", name: str = "dataset"
+) -> DataFrame:
+    """Adds status: ``[CACHE]`` for the first data set, by name, of a key that the manifest does not hold, else ``[SKIP]``."""
+    known = manifest.select(key).distinct().withColumn("_known", F.lit(True))
+    first = incoming.groupBy(key).agg(F.min(name).alias("_first"))
+    marked = incoming.join(first, key).join(known, key, "left")
+    skip = F.coalesce("_known", F.lit(False)) | (F.col(name) != F.col("_first"))
+    return marked.withColumn("status", F.when(skip, "[SKIP]").otherwise("[CACHE]")).drop("_known", "_first")
 
 
 class DatasetMemory:

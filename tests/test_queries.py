@@ -60,3 +60,11 @@ def test_only_needed_columns_are_read(spark, sf):
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", plan)) == {"event_id:bigint,ts:timestamp_ntz"}
     plan = entry.queries()["src14_first_arrivals"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan
+
+
+def test_every_email_is_scored_or_said_not_to_be(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = entry.queries()["sc19_score_record"](spark, sf)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    found = {r["classification"]: r["count"] for r in rows.groupBy("classification").count().collect()}
+    assert sum(found.values()) == n and found["NOT_SCORED"] == n // 20

@@ -1,6 +1,7 @@
 """Readers, sinks, dataset memory and message payloads."""
 
 import base64
+import hashlib
 import json
 
 import pytest
@@ -70,21 +71,28 @@ def test_quoted_round_trip(spark, tmp_path):
     assert rows(readers.read_quoted(spark, str(part))) == rows(df)
 
 
-def test_file_fingerprint(spark, tmp_path, monkeypatch):
-    import hashlib
-
-    p = tmp_path / "a.csv"
-    p.write_bytes(b"body,label\nx,1\n")
-    want = hashlib.sha256(p.read_bytes()).hexdigest()[:16]
-    assert memory.file_fingerprints(spark, [str(p)]).first().fingerprint == want
+def test_file_fingerprint(spark, tmp_path):
+    lines = [f"row {i % 7}" for i in range(5000)]
+    p, q, r, e = (tmp_path / n for n in ("p.csv", "q.csv", "r.csv", "e.csv"))
+    p.write_text("\n".join(lines) + "\n")
+    q.write_text("\n".join(reversed(lines)) + "\n")
+    r.write_bytes(p.read_bytes())
+    e.write_bytes(b"")
+    paths = [str(x) for x in (p, q, r, e)]
+
+    def prints():
+        return {x.path.rsplit("/")[-1]: x.fingerprint for x in memory.file_fingerprints(spark, paths).collect()}
+
+    whole = prints()
+    assert whole["p.csv"] == whole["r.csv"] and len(set(whole.values())) == 3 and len(whole) == 4
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # many splits, same digest
+    try:
+        assert prints() == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     head = memory.file_fingerprints(spark, [str(p)], head_bytes=4).first().fingerprint
-    assert head == hashlib.sha256(b"body").hexdigest()[:16]
-    # a file beyond the limit is told apart by its lines, in any order
-    q = tmp_path / "b.csv"
-    q.write_bytes(b"x,1\nbody,label\n")
-    monkeypatch.setattr(memory, "WHOLE_FILE_BYTES", 1)
-    prints = [r.fingerprint for r in memory.file_fingerprints(spark, [str(p), str(q)]).collect()]
-    assert len(prints) == 2 and prints[0] == prints[1] != want
+    assert head == hashlib.sha256(p.read_bytes()[:4]).hexdigest()[:16]
 
 
 def test_dataset_memory(spark, tmp_path):

@@ -80,8 +80,6 @@ def test_pages(spark):
     for bad in (0, 101):
         with pytest.raises(ValueError):
             store.email_page(df, 1, bad)
-    with pytest.raises(ValueError):
-        ranking.first_per_group(df, ["user_id"], [F.col("email_id")], 1001)
 
 
 def test_pages_cut_groups_before_the_shuffle(spark, sf):
@@ -303,3 +301,28 @@ def test_quarantined_training_rows(spark):
     assert tr.training_rows(df, "text", strict=False).count() == 1
     with pytest.raises(Exception, match="unknown label"):
         tr.training_rows(df, "text").collect()
+
+
+def test_deep_pages(spark):
+    df = spark.range(6000).select(
+        F.col("id").alias("email_id"),
+        (F.col("id") % 2).alias("user_id"),
+        F.timestamp_add("MINUTE", F.col("id"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("received_at"),
+    )
+    got = store.email_pages(df, limit=10, offset=2000).where("user_id = 0").orderBy("position").collect()
+    assert [r.email_id for r in got] == [5998 - 2 * (2000 + i) for i in range(10)]
+    with pytest.raises(ValueError):
+        store.email_pages(df, limit=10_000)
+
+
+def test_resolve_with_nulls_and_stored_rows(spark):
+    schema = "email_id long, user_id long, message_id string"
+    incoming = spark.createDataFrame([(1, 7, "a"), (2, 7, "a"), (3, None, "b"), (4, 7, None)], schema)
+    stored = spark.createDataFrame([(90, 7, "a"), (91, 8, "z"), (92, 7, None)], schema)
+    got = store.resolve_insert(incoming, stored).select("email_id", "stored_email_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 90), (2, 90), (3, 3), (4, 92)]
+
+
+def test_row_delivered_twice(spark):
+    rows = spark.createDataFrame([(3, 7, "k"), (3, 7, "k"), (5, 7, "k"), (6, None, "k")], "email_id long, user_id long, message_id string")
+    assert sorted(r.email_id for r in store.first_arrivals(rows).collect()) == [3, 6]
