@@ -11,14 +11,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS = 1000  # rows of an Arrow batch that are worked on at once
+ROWS = 500  # rows of an Arrow batch, and rows that are worked on at once
 
 
 def importable(spark) -> None:
-    """Lets Python workers on this machine import the package from where the driver has it; on a cluster it is installed
-    or sent along with --py-files."""
+    """Prepares the session for Python workers on whole texts.
+
+    They import the package from where the driver has it (on a cluster it is installed or sent along with --py-files),
+    get texts in batches of ROWS rows, as a batch of the default size may hold a gigabyte of long texts, and give memory
+    back when a batch is done.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    for name, value in (("PYTHONPATH", root), ("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "1000000")):
+        spark.sparkContext.environment.setdefault(name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
