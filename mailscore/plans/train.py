@@ -24,8 +24,6 @@ from mailscore.operators import analytics, evaluation, quality, ranking, schema
 from mailscore.operators import terms as tm
 from mailscore.session import ensure_checkpoint_dir
 
-# Up to this many sender domains get a column each; more are hashed, as the
-# list of columns is kept on the driver.
 HASH_SLICE_BITS = 14
 
 
