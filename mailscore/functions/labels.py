@@ -22,7 +22,7 @@ def strict_label(value: Column) -> Column:
 
 
 def lenient_label(value: Column) -> Column:
-    """Known word, else number, else 0; any number but 0 is 1."""
+    """Known word, else number, else 0; a number is 1 if its whole part is not 0 (0.5 is 0)."""
     v = F.lower(ws_trim(value.cast("string")))
     number = (
         F.when(v.isin(c.LENIENT_PHISHING_LABELS), F.lit(1.0))

@@ -28,7 +28,13 @@ def decoded(data: Column) -> Column:
     """URL-safe base64 to text; foreign characters and bytes that are no UTF-8 are dropped, null if it is cut short."""
     plain = F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/=]", "")
     raw = F.try_to_binary(plain, F.lit("base64"))
-    return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
+    return valid_text(raw)
+
+
+def valid_text(raw: Column) -> Column:
+    """Bytes as text; from bytes that are no UTF-8 whatever cannot be read is dropped, valid text stays as it is."""
+    text = raw.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
 
 
 def malformed(payload: Column) -> Column:

@@ -172,10 +172,15 @@ def label_samples(df: DataFrame, sizes: dict[int, int], shown: int = 500) -> Dat
 
 
 def run_summary(history: DataFrame, dataset: str, label: str) -> DataFrame:
-    """One row: number of data sets and samples, label distribution as a map."""
-    per = history.groupBy(dataset, label).agg(F.count("*").alias("n"))
-    by_label = per.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("k")).agg(F.sum("n").alias("v"))
-    distribution = by_label.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).scalar()
-    return per.agg(
-        F.countDistinct(dataset).alias("num_datasets"), F.sum("n").alias("num_samples")
-    ).withColumn("label_distribution", distribution)
+    """One row: number of data sets and samples, distribution of the two valid labels as a map.
+
+    A label that does not occur has no entry; rows with another label or none count as samples only.
+    """
+    per = history.groupBy(dataset).agg(
+        F.count("*").alias("n"), *[F.count_if(F.col(label).cast("string") == str(k)).alias(f"_{k}") for k in (0, 1)]
+    )
+    found = per.agg(
+        F.count(dataset).alias("num_datasets"), F.sum("n").alias("num_samples"), *[F.sum(f"_{k}").alias(f"_{k}") for k in (0, 1)]
+    )
+    counts = F.create_map(*[x for k in (0, 1) for x in (F.lit(str(k)), F.coalesce(f"_{k}", F.lit(0)))])
+    return found.select("num_datasets", "num_samples", F.map_filter(counts, lambda _, n: n > 0).alias("label_distribution"))

@@ -24,8 +24,6 @@ from mailscore.operators.once import explode_once
 from mailscore.operators.ranking import broadcast_if_small
 from mailscore.session import ensure_checkpoint_dir
 
-BROADCAST_TERMS = 1_000_000
-
 _NO_TERMS = "cast(array() as array<string>)"
 
 
@@ -79,17 +77,16 @@ def term_frequencies(
     ones are left out before they are counted.
     """
     terms = add_terms(df.select(text), text, stop_words=stop_words)
-    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df")))
-    once = F.transform(
-        F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))
-    )
-    rows = explode_once(terms, [], F.concat(each, once), "t").select("t.*")
+    terms = terms.select(F.array_sort("terms").alias("terms"))  # equal terms side by side: the first of them counts the document
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "terms"), 1, F.size("terms"))
+    each = F.zip_with("terms", before, lambda t, b: F.struct(t.alias("term"), (~t.eqNullSafe(b)).cast("int").alias("first")))
+    rows = explode_once(terms, [], each, "t").select("t.*")
     candidates = candidate_words(df, text, candidates_for, stop_words) if candidates_for else None
     if candidates is not None:
         known = broadcast_if_small(candidates)
         for end in (1, -1):  # first and last word: the same one in a single word
             rows = rows.join(known, F.substring_index("term", " ", end) == F.col("word"), "left_semi")
-    return rows.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
+    return rows.groupBy("term").agg(F.count("*").alias("cf"), F.sum("first").alias("df"))
 
 
 def vocabulary(
@@ -167,13 +164,12 @@ def score_by_terms(
 ) -> DataFrame:
     """matched, avg_score, verdict per text from its distinct known terms; texts without any are left out.
 
-    ``differences`` has a row per term of the vocabulary: up to ``BROADCAST_TERMS``
-    of them go to every executor, a longer list is joined by a shuffle.
+    ``differences`` has a row per term of the vocabulary; whether it goes to every
+    executor is left to Spark's own size check.
     """
     terms = add_terms(texts, text, stop_words=weights.stop_words)
     rows = explode_once(terms, keys, F.array_distinct("terms"), "term")
     known = differences.select("term", "diff")
-    known = F.broadcast(known) if len(weights.terms) <= BROADCAST_TERMS else known
     averaged = rows.join(known, "term").groupBy(*keys).agg(F.count("*").alias("matched"), F.avg("diff").alias("avg_score"))
     verdict = F.when(F.col("avg_score") > c.TERM_VERDICT_CUT, F.lit("SUSPICIOUS")).otherwise(F.lit("LIKELY SAFE"))
     return averaged.withColumn("verdict", verdict)

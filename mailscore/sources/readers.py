@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscore import constants as c
+from mailscore.functions.mime import valid_text
 
 SNIFF_LINES = 20
 BAD_ROW = "_bad_row"
@@ -164,5 +165,4 @@ def read_quoted(spark: SparkSession, path: str) -> DataFrame:
 def read_raw_emails(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, text of raw message files; bytes that are no UTF-8 are dropped."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return files.select("path", text.alias("text"))
+    return files.select("path", valid_text(F.col("content")).alias("text"))

@@ -287,13 +287,13 @@ def test_saved_model_defaults(spark, trained, tmp_path):
     assert (back.threshold, back.margin, back.version) == (0.5, 0.2, "unknown")
 
 
-def test_many_domains_are_hashed(spark, monkeypatch):
-    monkeypatch.setattr(tr, "INDEXED_DOMAINS", 2)
-    rows = [(i % 2, f"word{i % 3} text", 0, i, 0, 5, 0, f"d{i}.com") for i in range(20)]
+@pytest.mark.parametrize("domains", [1, 2, 20])
+def test_every_domain_has_its_column(spark, domains):
+    rows = [(i % 2, f"word{i % 3} text", 0, i, 0, 5, 0, f"d{i % domains}.com") for i in range(20)]
     df = spark.createDataFrame(rows, "label int, text string, has_attachment int, links_count int, urgent_keywords int, "
                                      "body_length int, exclamation_count int, sender_domain string")
     _, out = tr.fit_features(df, tr.Settings(vocabulary=10))
-    assert out.first().features.size == 7 + 5 + tr.HASHED_DOMAIN_COLUMNS  # 4 words, 3 pairs
+    assert out.first().features.size == 7 + 5 + domains  # 4 words, 3 pairs
 
 
 def test_quarantined_training_rows(spark):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailscore.functions import labels, risk, segments
+from mailscore.functions import mime
 from mailscore.functions import text as tx
 from mailscore.operators import scoring
 
@@ -181,3 +182,8 @@ def test_clues_cover_every_pattern(spark):
     for i, (text,) in enumerate(words):
         df = spark.createDataFrame([(text,)], "x string").select(*[v.alias(k) for k, v in segments.clues("x").items()])
         assert df.first()[f"pattern{i}"] is True
+
+
+def test_genuine_replacement_characters_stay(spark):
+    rows = spark.createDataFrame([("a�b".encode(),), (b"a\xffb",), (b"",), (None,)], "raw binary")
+    assert [r.t for r in rows.select(mime.valid_text(F.col("raw")).alias("t")).collect()] == ["a�b", "ab", "", None]
