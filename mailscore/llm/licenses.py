@@ -4,11 +4,14 @@ How many documents hold a word of the templates is counted over all documents. O
 highest inverse document frequency are posted with their positions. A text is looked up under the rarest of these words
 that it holds; word place minus template place is where the template would begin, so postings that agree on it are added
 up by weight. A template holds where enough of its weight agrees on one place and its mandatory phrases stand in the text.
+Only texts with all mandatory phrases of some template are looked up; how frequent words are decides over no lookup.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +85,12 @@ def index(rows: int, frequencies: dict[str, int]) -> tuple[list[str], dict[str,
     return sorted(postings, key=lambda w: (-idf[w], w)), postings
 
 
+def _possible() -> Column:
+    """Numbers of the templates whose mandatory phrases all stand in the text; no other one can hold."""
+    held = [reduce(and_, [F.contains("_norm", F.lit(wrapped(p))) for p in phrases]) for _, _, phrases in TEMPLATES]
+    return F.array_compact(F.array(*[F.when(h, F.lit(t)) for t, h in enumerate(held)]))
+
+
 def _aligned(order: list[str], postings: dict[str, list[tuple[int, int, float]]]) -> Column:
     """Per template (number, largest share of its weight that agrees on one beginning)."""
     table = F.create_map(
@@ -154,17 +163,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     seen = normalised(rows, "text").drop("text", "_core")
     seen = seen.withColumn("_n", F.array(*[_places(p) for p, _ in BASE]))
     any_base = F.exists("_n", lambda x: x > 0)
-    rare = F.array(*[F.lit(w) for w in order if frequencies.get(w, 0) <= max(1, n // 20)])  # in a twentieth of the rows at most
     none = F.array().cast("array<struct<t:int,s:double>>")
-    seen = seen.withColumn("_aligned", F.when(F.arrays_overlap(rare, "_words"), _aligned(order, postings)).otherwise(none))
-    enough = seen.withColumn("_hold", F.filter("_aligned", lambda x: x["s"] >= SHARE))
+    seen = seen.withColumn("_possible", _possible())
+    seen = seen.withColumn("_aligned", F.when(F.size("_possible") > 0, _aligned(order, postings)).otherwise(none))
+    enough = seen.withColumn("_hold", F.filter("_aligned", lambda x: (x["s"] >= SHARE) & F.array_contains("_possible", x["t"])))
 
     def verified(t: int) -> Column:
-        label, _, phrases = TEMPLATES[t]
-        held = F.exists("_hold", lambda x: x["t"] == t)
-        for p in phrases:
-            held = held & F.contains("_norm", F.lit(wrapped(p)))
-        return F.when((F.size("_hold") > 0) & held, F.lit(label))
+        return F.when((F.size("_hold") > 0) & F.exists("_hold", lambda x: x["t"] == t), F.lit(TEMPLATES[t][0]))
 
     def best(t: int) -> Column:
         return F.when(F.col("_labels")[t].isNotNull(), F.array_max(F.transform(F.filter("_hold", lambda x: x["t"] == t), lambda x: x["s"])))

@@ -120,6 +120,14 @@ def test_license_templates(spark):
     assert all(got[k] == "" for k, _ in plain)
 
 
+def test_licenses_of_a_hot_source(spark):
+    """A notice in a third of the rows is found in all of them."""
+    for notice, label in (("Licensed under CC BY-SA 4.0.", "cc-by-sa"), ("All rights reserved.", "all-rights-reserved")):
+        said = [(k, f"word{k} of a river {notice if k % 3 == 0 else 'and stones'}") for k in range(90)]
+        got = dict(rows(licenses.scan(table(spark, said)), "doc_id", "labels"))
+        assert [got[k] for k, _ in said] == [label if k % 3 == 0 else "" for k, _ in said]
+
+
 PRIVATE = "Mail Anna.S7@Mail.example.org, anna.s7@mail.example.org; +1 (614) 555-8001 or +1 614-555-8001; 4111-1111-1111-1111, not 4111111111111112; 10.1.2.3; Mrs. Jane Doe, Господин Иван Петров"
 
 
