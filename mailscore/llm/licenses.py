@@ -1,8 +1,8 @@
 """License scan with a positional index of rare template words, in DataFrame functions only.
 
 How many documents hold a word of the templates is counted over all documents. Of every template the words with the
-highest inverse document frequency are posted with their positions. A text is looked up under the rarest of these words
-that it holds; word place minus template place is where the template would begin, so postings that agree on it are added
+highest inverse document frequency are posted with their positions. A text is looked up under all posted words of every
+template that can hold; word place minus template place is where the template would begin, so postings that agree on it are added
 up by weight. A template holds where enough of its weight agrees on one place and its mandatory phrases stand in the text.
 Only texts with all mandatory phrases of some template are looked up; how frequent words are decides over no lookup.
 """
@@ -43,7 +43,6 @@ TEMPLATES = (
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 POSTED = 6  # rarest words of a template in the index
-LOOKED_UP = 8  # rarest indexed words of a text that it is looked up under
 SHARE = 0.6  # of a template's weight that has to stand in place
 
 
@@ -100,7 +99,8 @@ def _aligned(order: list[str], postings: dict[str, list[tuple[int, int, float]]]
             for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q"), F.lit(s).alias("s")) for t, q, s in postings[w]]))
         ]
     )
-    mine = F.slice(F.array_intersect(F.array(*map(F.lit, order)), "_words"), 1, LOOKED_UP)
+    posted = F.array(*[F.array(*[F.lit(w) for w in order if any(p[0] == t for p in postings[w])]) for t in range(len(TEMPLATES))])
+    mine = F.array_distinct(F.flatten(F.transform("_possible", lambda t: F.element_at(posted, t + 1))))
     numbered = F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     # an array of one: its lambda takes the words looked up once, where the inner one would work them out for every word
     places = F.flatten(F.transform(F.array(mine), lambda m: F.filter(numbered, lambda x: F.array_contains(m, x["w"]))))
@@ -166,17 +166,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     none = F.array().cast("array<struct<t:int,s:double>>")
     seen = seen.withColumn("_possible", _possible())
     seen = seen.withColumn("_aligned", F.when(F.size("_possible") > 0, _aligned(order, postings)).otherwise(none))
-    enough = seen.withColumn("_hold", F.filter("_aligned", lambda x: (x["s"] >= SHARE) & F.array_contains("_possible", x["t"])))
-
-    def verified(t: int) -> Column:
-        return F.when((F.size("_hold") > 0) & F.exists("_hold", lambda x: x["t"] == t), F.lit(TEMPLATES[t][0]))
-
-    def best(t: int) -> Column:
-        return F.when(F.col("_labels")[t].isNotNull(), F.array_max(F.transform(F.filter("_hold", lambda x: x["t"] == t), lambda x: x["s"])))
-
-    found = enough.withColumn("_labels", F.array(*[verified(t) for t in range(len(TEMPLATES))]))
+    # labels and score each take _hold once, so that a filter on them pushed below works nothing out over and over
+    found = seen.withColumn("_hold", F.filter("_aligned", lambda x: (x["s"] >= SHARE) & F.array_contains("_possible", x["t"])))
+    names = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
+    labels = F.transform("_hold", lambda x: F.element_at(names, x["t"] + 1))
     base = F.array_compact(F.array(*[F.when(F.col("_n")[i] > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]))
-    top = F.array_max(F.array(F.lit(0.0), *[best(t) for t in range(len(TEMPLATES))]))
+    top = F.array_max(F.concat(F.array(F.lit(0.0)), F.transform("_hold", lambda x: x["s"])))
     return found.select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
@@ -184,6 +179,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.when(any_base, F.least(*[_first(p) for p, _ in BASE])).alias("first_word"),
         F.when(any_base, F.greatest(*[_last(p) for p, _ in BASE])).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, F.array_compact("_labels"))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union(base, labels)), ",").alias("labels"),
         F.when(any_base, F.lit(1.0)).otherwise(F.least(F.lit(1.0), top)).alias("score"),
     )

@@ -128,6 +128,16 @@ def test_licenses_of_a_hot_source(spark):
         assert [got[k] for k, _ in said] == [label if k % 3 == 0 else "" for k, _ in said]
 
 
+def test_licenses_in_one_file(spark):
+    """No template's lookup depends on which others stand in the text."""
+    whole = ". ".join(text for _, text, _ in licenses.TEMPLATES)
+    some = ". ".join(licenses.TEMPLATES[k][1] for k in (1, 9, 2, 4))
+    plain = [(100 + k, "some words about a river and stones") for k in range(80)]
+    got = dict(rows(licenses.scan(table(spark, [(1, whole), (2, some), *plain])), "doc_id", "labels"))
+    assert got[1] == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert {"mit", "bsd", "apache-2", "gpl-3"} <= set(got[2].split(","))
+
+
 PRIVATE = "Mail Anna.S7@Mail.example.org, anna.s7@mail.example.org; +1 (614) 555-8001 or +1 614-555-8001; 4111-1111-1111-1111, not 4111111111111112; 10.1.2.3; Mrs. Jane Doe, Господин Иван Петров"
 
 
