@@ -3,8 +3,9 @@
 A seed is a fixed mask over neighbouring words; words at its zeros do not enter the hash, so a hit survives
 substitutions there. Hashes of the benchmark are looked up for every place of every document, a bit table of fixed size
 answering for the places that cannot hit. Around a hit the words of item and document are compared along the same
-diagonal: a leak is a stretch of at least ``least`` equal words (or a whole shorter item) in which a differing word costs
-as much as two equal ones gain.
+diagonal: a leak is a stretch of at least ``least`` equal words in which a differing word costs as much as two equal ones
+gain, or three quarters of an item's words equal in their places. The lighter seeds are chosen so that every way to
+substitute a quarter of an item of up to 19 words leaves a hit.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 from mailscore.llm.blocks import byte_texts, hash_words, mix, slices
 
 MASKS = ("1111111", "11101001011", "1101001100101")  # fixed values: seeds of weight 7
+LIGHT = ("111011", "110100011", "11001011", "110111", "1100001011", "111000010001")  # weight 5, for items of 12 words or more
+SMALL = ("1111", "11101", "11011", "10111", "1100011")  # weight 4, for shorter items
+FEW = 12  # items of fewer words take the seeds of weight 4
 LEAST = 12  # equal words of a leak
 SHORTEST = 5  # words of the shortest item that is looked for
 BLOCK = 1_000_000  # words of the benchmark that are looked up at once
@@ -64,11 +68,9 @@ def index(rows: list[tuple[int, bytes]]) -> Index:
         if len(found) >= SHORTEST:
             items.append(item)
             hashes.append(found)
-    span = max(map(len, MASKS))
-    short = sorted({len(h) for h in hashes if len(h) < span})  # items that not every seed fits into: one seed over the whole
-    out = Index(items, hashes, [*MASKS, *("1" * n for n in short)], [], [], [], [])
-    for k, mask in enumerate(out.masks):
-        use = [i for i, h in enumerate(hashes) if (k < len(MASKS) or len(h) == len(mask))]
+    out = Index(items, hashes, [*MASKS, *LIGHT, *SMALL], [], [], [], [])
+    for mask in out.masks:
+        use = [i for i, h in enumerate(hashes) if mask in MASKS or (len(h) < FEW) == (mask in SMALL)]
         keyed = [seeds(hashes[i], mask) for i in use]
         keys = np.concatenate([np.zeros(0, np.uint64), *keyed])
         item = np.repeat(np.array(use, np.int64), [len(x) for x in keyed])
@@ -100,6 +102,8 @@ def leaks(found: Index, texts: list[bytes], least: int = LEAST) -> Iterator[tupl
     ends = np.cumsum(lengths)
     pairs: dict[tuple[int, int], set[int]] = {}
     for mask, keys, item, place, seen in zip(found.masks, found.keys, found.item, found.place, found.seen, strict=True):
+        if not len(keys):
+            continue
         key = seeds(flat, mask)
         at = np.flatnonzero(seen[(key >> np.uint64(64 - BITS)).astype(np.int64)])
         low, high = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
@@ -114,9 +118,18 @@ def leaks(found: Index, texts: list[bytes], least: int = LEAST) -> Iterator[tupl
         target, best = found.hashes[i], (0, 0, 0, 0)
         for diagonal in diagonals:
             a, b = max(diagonal, int(starts[r])), min(diagonal + len(target), int(ends[r]))
-            start, n, equal = stretch(flat[a:b] == target[a - diagonal : b - diagonal])
+            same = flat[a:b] == target[a - diagonal : b - diagonal]
+            total = int(same.sum())
+            if total < least and 4 * total < 3 * len(target):
+                continue
+            start, n, equal = stretch(same)
+            if equal < least:
+                if 4 * total < 3 * len(target):
+                    continue
+                places = np.flatnonzero(same)  # the item as a whole, from its first to its last equal word
+                start, n, equal = int(places[0]), int(places[-1] - places[0]) + 1, total
             best = max(best, (equal, -n, -(a + start - int(starts[r])), a - diagonal + start))
-        if best[0] >= min(least, len(target)):
+        if best[0]:
             yield r, found.items[i], -best[2], best[3], -best[1], best[0]
 
 

@@ -285,6 +285,22 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(all_, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_substituted_items(spark):
+    """An item with a quarter of its words substituted is a leak at any length; with half of them it is none."""
+    draw = random.Random(9)
+    items, said, wanted = [], [], []
+    for n in (5, 8, 12, 13, 15, 16, 18, 23, 30):
+        for _ in range(12):
+            item, i = [f"w{draw.randint(0, 10**6)}" for _ in range(n)], len(items)
+            items.append((i, " ".join(item)))
+            for k, part in ((2 * i, n // 4), (2 * i + 1, (n + 1) // 2)):
+                gone = set(draw.sample(range(n), part)) if k % 2 == 0 else set(range(0, n, 2))
+                said.append((k, "some words before " + " ".join("x" if j in gone else w for j, w in enumerate(item)) + " and after"))
+            wanted.append((2 * i, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert rows(decontaminate.contaminated(table(spark, said), bench), "doc_id", "item_id") == sorted(wanted, key=repr)
+
+
 def test_minhash(spark, docs, texts, empty):
     draw = random.Random(9)
     base = [f"b{k}" for k in range(120)]
