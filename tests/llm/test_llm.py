@@ -159,6 +159,20 @@ def test_surrogates(spark, docs, texts, empty):
     assert surrogates.pseudonymise(both, "other").where("doc_id = 1").first().text != new
 
 
+def test_cards_beside_other_figures(spark):
+    """A card is replaced whatever stands next to it, and what stands next to it stays."""
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    said = [f"{card} 12/27", f"{card} 123", f"123 {card}", f"{card} {other} 7", f"{card} 123-45-6789", f"{card} 10.1.2.3", "3782 822463 10005 99", "4111111111111111 123", "1 2 3 4 5 6 7 8 9", "4111 1111 1111 1112"]
+    got = {r.doc_id: r for r in surrogates.pseudonymise(table(spark, list(enumerate(said))), "k").collect()}
+    new = [got[k].text for k in range(len(said))]
+    assert [got[k].n_entities for k in range(len(said))] == [1, 1, 1, 2, 2, 2, 1, 1, 0, 0]
+    assert new[0].endswith(" 12/27") and new[1].endswith(" 123") and new[2].startswith("123 ") and new[3].endswith(" 7") and new[6].endswith(" 99")
+    mine = new[0][:19]
+    assert mine != card and new[1][:19] == new[2][4:] == new[3][:19] == new[4][:19] == new[5][:19] == mine and new[7] == mine.replace(" ", "") + " 123"
+    assert not any(x in "".join(new) for x in ("4111 1111 1111 1111", "0000-0000", "123-45-6789", "10.1.2.3", "822463", "4111111111111111"))
+    assert new[8:] == said[8:] and all(len(a) == len(b) for k, (a, b) in enumerate(zip(new, said)) if k != 5)
+
+
 def test_surrogate_collisions(spark, monkeypatch):
     """With a tiny space of surrogates distinct entities still get distinct ones, none of them real."""
     made = surrogates.surrogate
