@@ -210,13 +210,10 @@ def domain_index(spark, sf):
     return indexed.groupBy("sender_domain", "idx").agg(F.count("*").alias("n"))
 
 
-SMALL = dict(rounds=3, depth=4, vocabulary=500)
-
-
 @R.query("ml4_feature_vectors")
 def feature_vectors(spark, sf):
     """Width and filled places of the combined vectors."""
-    rows = tr.fit_features(feature_rows(spark, sf).select("label", *c.FEATURE_COLUMNS), tr.Settings(**SMALL))[1]
+    rows = tr.fit_features(feature_rows(spark, sf).select("label", *c.FEATURE_COLUMNS), tr.Settings())[1]
     v = vector_to_array("features")
     return rows.select("label", F.size(v).alias("width"), F.size(F.filter(v, lambda x: x != 0)).alias("filled"))
 
@@ -231,22 +228,22 @@ def stratified_split(spark, sf):
     return split.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("is_test")).alias("n_test"))
 
 
-def small_run(spark, sf) -> tr.TrainingRun:
-    """A short training run on all labelled emails; the trees are few to keep the check quick."""
+def whole_run(spark, sf) -> tr.TrainingRun:
+    """A training run with the default settings on all labelled emails."""
     rows = feature_rows(spark, sf).select("email_id", "label", *c.FEATURE_COLUMNS)
-    return tr.train(rows, tr.Settings(**SMALL), version="check", row_id="email_id")
+    return tr.train(rows, tr.Settings(), version="check", row_id="email_id")
 
 
 @R.query("ml5_boosted_trees")
 def boosted_trees(spark, sf):
-    """Report of a short training run."""
-    return small_run(spark, sf).report
+    """Report of a training run."""
+    return whole_run(spark, sf).report
 
 
 @R.query("ml7_batch_probability")
 def batch_probability(spark, sf):
     """All emails scored with a freshly trained model."""
-    model = small_run(spark, sf).model
+    model = whole_run(spark, sf).model
     scored = score_table(texts(spark, sf), model)
     return scored.select(
         "email_id",

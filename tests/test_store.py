@@ -326,3 +326,24 @@ def test_resolve_with_nulls_and_stored_rows(spark):
 def test_row_delivered_twice(spark):
     rows = spark.createDataFrame([(3, 7, "k"), (3, 7, "k"), (5, 7, "k"), (6, None, "k")], "email_id long, user_id long, message_id string")
     assert sorted(r.email_id for r in store.first_arrivals(rows).collect()) == [3, 6]
+
+
+def test_registered_training_takes_the_defaults(spark, sf, monkeypatch):
+    """The registered queries fit features and trees with the default settings, nothing smaller."""
+    from mailscore.plans import queries_model
+
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(rows, settings=None, **_):
+        seen.append(settings or tr.Settings())
+        raise Stop
+
+    monkeypatch.setattr(queries_model.tr, "train", stop)
+    monkeypatch.setattr(queries_model.tr, "fit_features", stop)
+    for query in (queries_model.feature_vectors, queries_model.boosted_trees, queries_model.batch_probability):
+        with pytest.raises(Stop):
+            query(spark, sf)
+    assert seen == [tr.Settings()] * 3
