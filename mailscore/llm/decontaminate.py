@@ -4,8 +4,8 @@ A seed is a fixed mask over neighbouring words; words at its zeros do not enter
 substitutions there. Hashes of the benchmark are looked up for every place of every document, a bit table of fixed size
 answering for the places that cannot hit. Around a hit the words of item and document are compared along the same
 diagonal: a leak is a stretch of at least ``least`` equal words in which a differing word costs as much as two equal ones
-gain, or three quarters of an item's words equal in their places. The lighter seeds are chosen so that every way to
-substitute a quarter of an item of up to 19 words leaves a hit.
+gain, or three quarters of an item's words equal in their places. The seeds are chosen so that every way to substitute a
+quarter of an item of up to 19 words leaves a hit, and that every stretch of 12 equal words holds one.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from mailscore.llm.blocks import byte_texts, hash_words, mix, slices
 
-MASKS = ("1111111", "11101001011", "1101001100101")  # fixed values: seeds of weight 7
-LIGHT = ("111011", "110100011", "11001011", "110111", "1100001011", "111000010001")  # weight 5, for items of 12 words or more
+# fixed values: seeds of weight 5, for items of 12 words or more
+MASKS = ("111011", "110100011", "11001011", "110111", "111000010001")
 SMALL = ("1111", "11101", "11011", "10111", "1100011")  # weight 4, for shorter items
 FEW = 12  # items of fewer words take the seeds of weight 4
 LEAST = 12  # equal words of a leak
@@ -68,9 +68,9 @@ def index(rows: list[tuple[int, bytes]]) -> Index:
         if len(found) >= SHORTEST:
             items.append(item)
             hashes.append(found)
-    out = Index(items, hashes, [*MASKS, *LIGHT, *SMALL], [], [], [], [])
+    out = Index(items, hashes, [*MASKS, *SMALL], [], [], [], [])
     for mask in out.masks:
-        use = [i for i, h in enumerate(hashes) if mask in MASKS or (len(h) < FEW) == (mask in SMALL)]
+        use = [i for i, h in enumerate(hashes) if (len(h) < FEW) == (mask in SMALL)]
         keyed = [seeds(hashes[i], mask) for i in use]
         keys = np.concatenate([np.zeros(0, np.uint64), *keyed])
         item = np.repeat(np.array(use, np.int64), [len(x) for x in keyed])
