@@ -38,11 +38,11 @@ FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 """
 
 PREDICTIONS_SQL = """
-SELECT e.event_id AS prediction_id, CASE WHEN e.event_id % d.n % 20 = 13 THEN d.n + e.event_id % 50 ELSE e.event_id % d.n END AS email_id,
-  CASE WHEN e.event_type IN ('error','purchase') THEN 1 ELSE 0 END AS prediction,
-  e.value - floor(e.value) AS probability,
-  concat('v', CAST(e.event_id % 3 AS VARCHAR(20))) AS model_version, e.ts AS created_at
-FROM {events} e CROSS JOIN (SELECT count(*) AS n FROM {documents}) d
+SELECT event_id AS prediction_id, CASE WHEN event_id % n % 20 = 13 THEN n + event_id % 50 ELSE event_id % n END AS email_id,
+  CASE WHEN event_type IN ('error','purchase') THEN 1 ELSE 0 END AS prediction,
+  value - floor(value) AS probability,
+  concat('v', CAST(event_id % 3 AS VARCHAR(20))) AS model_version, ts AS created_at
+FROM (SELECT event_id, event_type, value, ts, (SELECT count(*) FROM {documents}) AS n FROM {events})
 """
 
 # Labels as people write them, for the label operators.
