@@ -12,19 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS = 500  # rows of an Arrow batch, and rows that are worked on at once
+BYTES = 8 << 20  # of a batch of rows that are sent to a Python worker; a single longer text is a batch of its own
 
 
 def importable(spark) -> None:
     """Prepares the session for Python workers on whole texts.
 
     They import the package from where the driver has it (on a cluster it is installed or sent along with --py-files),
-    get texts in batches of ROWS rows, as a batch of the default size may hold a gigabyte of long texts, and give memory
-    back when a batch is done.
+    get texts in batches of ROWS rows and about BYTES bytes, as a batch of the default size may hold a gigabyte of long
+    texts, and give memory back when a batch is done.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for name, value in (("PYTHONPATH", root), ("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "1000000")):
         spark.sparkContext.environment.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES))
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -45,6 +47,15 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [t or b"" for t in column.to_pylist()]
 
 
+# Letters A to Z lower-cased, digits and everything beyond ASCII kept, any other character a blank.
+_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """The runs of letters, digits and characters beyond ASCII; only A to Z are lower-cased."""
+    return text.translate(_TERMS).split()
+
+
 def hash_words(words: list[bytes], seed: int = 0) -> np.ndarray:
     """64-bit hash of every word."""
     if seed:
