@@ -11,7 +11,7 @@ probability by a logistic curve fitted to the examples, each judged by the other
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 from statistics import NormalDist
 
@@ -31,65 +31,85 @@ STEMS = (4, 5, 6, 7)  # code points of the beginnings that are terms as well
 KNOWN = 300_000  # words whose terms a task remembers
 NEAREST = 25
 BLOCK = 64  # examples of a block
+SCALE = 1 << 20  # weights are rounded to this share of a vector's length; sums of products stay far below 2^53
+AT_ONCE = 256  # vectors that are judged at once
 NEAR = 0.05  # added to every distance, so that an equal example does not outvote all others
 BELIEF = 1.0  # weight of the share of toxic examples among the votes
 
 
 @dataclass(frozen=True)
 class Index:
+    """Weights are whole numbers, the length of a vector being SCALE, so that sums are exact whatever their order."""
+
     idf: np.ndarray  # of every term
     label: np.ndarray  # of every example, in the order of the blocks
     ids: np.ndarray  # doc_id of every example
-    start: np.ndarray  # where a term's postings begin
-    example: np.ndarray  # of every posting, ascending within a term
-    weight: np.ndarray  # of every posting
-    top_start: np.ndarray  # where a term's blocks begin
-    top_block: np.ndarray
-    top_weight: np.ndarray  # largest weight of the term in the block
+    tops: np.ndarray  # term x block: the largest weight of a term in a block
+    start: np.ndarray  # where a block's terms begin in ``terms``
+    terms: np.ndarray  # the terms that a block's examples hold
+    posts: np.ndarray  # a row for each of them: the weight in every example of the block
     base: float  # share of toxic examples
     blank: float  # share of toxic ones among the examples that hold no term
     slope: float
     shift: float
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and similarities of the k nearest examples that share a term, nearest first, then in order of number."""
-        bounds = np.zeros(-(-len(self.label) // BLOCK) + 1)
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            part = slice(self.top_start[t], self.top_start[t + 1])
-            bounds[self.top_block[part]] += w * self.top_weight[part]
-        blocks = np.flatnonzero(bounds)
-        blocks = blocks[np.argsort(-bounds[blocks], kind="stable")]
-        bounds = bounds[blocks]
-        found, near, width, at = np.zeros(0, np.int64), np.zeros(0), 4, 0
-        # equal similarities count as well, hence >=; sums are rounded upwards of the true bound as every addend is at least as large
-        while at < len(blocks) and (len(near) < k or bounds[at] >= near[-1]):
-            chosen, at, width = np.sort(blocks[at : at + width]), at + width, 2 * width
-            scores = np.zeros(len(chosen) * BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                some = self.example[self.start[t] : self.start[t + 1]]
-                cuts = np.searchsorted(some, np.stack([chosen * BLOCK, (chosen + 1) * BLOCK]))
-                for i, (a, b) in enumerate(cuts.T.tolist()):
-                    if a < b:
-                        a, b = a + int(self.start[t]), b + int(self.start[t])
-                        scores[self.example[a:b] - chosen[i] * BLOCK + i * BLOCK] += w * self.weight[a:b]
-            place = np.flatnonzero(scores)
-            number = chosen[place // BLOCK] * BLOCK + place % BLOCK
-            other = number != but
-            found, near = np.concatenate([found, number[other]]), np.concatenate([near, scores[place[other]]])
-            order = np.lexsort((found, -near))[:k]
-            found, near = found[order], near[order]
-        return found, near
-
-    def vote(self, number: np.ndarray, near: np.ndarray) -> float:
+    def nearest(self, queries: np.ndarray, k: int = NEAREST, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and similarities (times SCALE squared) of the k nearest examples of every query (a row of weights).
+
+        Nearest first, then in order of number; number -1 where fewer examples share a term. ``but`` has the number of the
+        example that a query must not find.
+        """
+        bits = np.int64(max(1, len(self.label)).bit_length())
+        low = (np.int64(1) << bits) - 1
+        best = np.full((len(queries), k), -1, np.int64)  # similarity and, below it, how small the number is
+        bounds = queries @ self.tops
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        bounds = np.take_along_axis(bounds, order, axis=1)
+        live, at, width = np.arange(len(queries)), 0, 4
+        while at < self.tops.shape[1]:
+            # a block that can hold an example as near as the last one kept has to be looked at
+            live = live[(bounds[live, at] > 0) & (bounds[live, at] >= (best[live, -1] >> bits))]
+            if not len(live):
+                break
+            chosen = order[live, at : at + width]
+            room = np.full((len(live), chosen.shape[1] * BLOCK), -1, np.int64)
+            row, slot = np.divmod(np.argsort(chosen, axis=None, kind="stable"), chosen.shape[1])
+            block = chosen[row, slot]
+            cuts = np.flatnonzero(np.diff(block, prepend=-1))
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=True):
+                part = slice(self.start[block[a]], self.start[block[a] + 1])
+                found = queries[np.ix_(live[row[a:z]], self.terms[part])] @ self.posts[part]
+                number = block[a] * BLOCK + np.arange(BLOCK)
+                key = np.where(found > 0, found.astype(np.int64) << bits | low - number, -1)
+                if but is not None:
+                    key[number == but[live[row[a:z]], None]] = -1
+                room[row[a:z, None], slot[a:z, None] * BLOCK + np.arange(BLOCK)] = key
+            both = np.concatenate([best[live], room], axis=1)
+            best[live] = -np.sort(-np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
+            at, width = at + width, 2 * width
+        return np.where(best < 0, -1, low - (best & low)), np.where(best < 0, 0, best >> bits)
+
+    def votes(self, number: np.ndarray, near: np.ndarray) -> np.ndarray:
         """The share of toxic ones among the neighbours, each weighted by 1 / (distance + NEAR)."""
-        weight = 1 / (np.maximum(1 - near, 0) + NEAR)
-        return float((weight @ self.label[number] + BELIEF * self.base) / (weight.sum() + BELIEF))
+        weight = np.where(number < 0, 0, 1 / (np.maximum(1 - near / SCALE**2, 0) + NEAR))
+        toxic = np.append(self.label, 0.0)[number]
+        return ((weight * toxic).sum(axis=1) + BELIEF * self.base) / (weight.sum(axis=1) + BELIEF)
+
+    def probability(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * _odds(votes) + self.shift, -30, 30)))
+
+    def rows(self, vectors: list[tuple[bytes, bytes]]) -> np.ndarray:
+        """The weights of every (terms, counts), a row each."""
+        out = np.zeros((len(vectors), len(self.idf)))
+        for i, (terms, counts) in enumerate(vectors):
+            out[i, np.frombuffer(terms, np.int32)] = weights(self.idf, terms, counts)
+        return out
 
-    def probability(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * _odds(vote) + self.shift, -30, 30))))
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return _unit(self.idf[terms] * (1 + np.log(counts)))
+def weights(idf: np.ndarray, terms: bytes, counts: bytes) -> np.ndarray:
+    """(1 + ln count) idf of the terms, scaled to the length SCALE and rounded."""
+    w = idf[np.frombuffer(terms, np.int32)] * (1 + np.log(np.frombuffer(counts, np.int32)))
+    return np.rint(w * (SCALE / np.sqrt((w * w).sum()))) if len(w) else w
 
 
 def _odds(share):
@@ -97,37 +117,33 @@ def _odds(share):
     return np.log(share / (1 - share))
 
 
-def _unit(weights: np.ndarray) -> np.ndarray:
-    size = np.sqrt((weights * weights).sum())
-    return weights / size if size else weights
+def build(examples: list[tuple[int, int, bytes, bytes]], idf: np.ndarray) -> tuple[Index, list[tuple[bytes, bytes]]]:
+    """The index of (doc_id, label, terms, counts), before its curve is fitted, and the examples' vectors in its order.
 
-
-def build(examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray) -> Index:
-    """An index of (doc_id, label, terms, counts), before its curve is fitted. Examples without a term only count for the
-    shares."""
+    Examples without a term only count for the shares.
+    """
     label = np.array([x[1] for x in examples], np.float64)
-    empty = np.array([not len(x[2]) for x in examples], bool)
+    empty = np.array([not x[2] for x in examples], bool)
     base = (label.sum() + 0.5) / (len(label) + 1) if len(label) else 0.0
-    blank = (label[empty].sum() + base) / (empty.sum() + 1)
-    held = [(i, y, t, _unit(idf[t] * (1 + np.log(c)))) for i, y, t, c in examples if len(t)]
-    held.sort(key=lambda x: ([-v for v in sorted(x[3].tolist(), reverse=True)[:1]], x[2].tolist(), x[0]))
-    # alike examples become neighbours: by their heaviest terms
-    held.sort(key=lambda x: (x[2][np.argsort(-x[3], kind="stable")[:4]].tolist(), x[0]))
-    sizes = [len(x[2]) for x in held]
-    number = np.repeat(np.arange(len(held)), sizes)
-    term = np.concatenate([np.zeros(0, np.int64), *[x[2] for x in held]]).astype(np.int64)
-    weight = np.concatenate([np.zeros(0), *[x[3] for x in held]])
-    order = np.lexsort((number, term))
-    term, number, weight = term[order], number[order], weight[order]
-    every = np.arange(len(idf) + 1)
-    cell = term * (len(held) // BLOCK + 1) + number // BLOCK
-    first = np.flatnonzero(np.diff(cell, prepend=-1))
-    top = np.maximum.reduceat(weight, first) if len(first) else weight
-    return Index(
-        idf, np.array([x[1] for x in held], np.float64), np.array([x[0] for x in held], np.int64),
-        np.searchsorted(term, every), number, weight, np.searchsorted(term[first], every), number[first] // BLOCK, top,
-        float(base), float(blank), 1.0, 0.0,
+    blank = (label[empty].sum() + base) / (empty.sum() + 1) if len(label) else 0.0
+    held = [(i, y, t, c, np.frombuffer(t, np.int32), weights(idf, t, c)) for i, y, t, c in examples if t]
+    held.sort(key=lambda x: (x[4][np.argsort(-x[5], kind="stable")[:4]].tolist(), x[0]))  # by the heaviest terms: alike ones meet
+    blocks = -(-len(held) // BLOCK)
+    tops, start, terms, posts = np.zeros((len(idf), blocks)), [0], [], []
+    for b in range(blocks):
+        dense = np.zeros((len(idf), BLOCK))
+        for place, x in enumerate(held[b * BLOCK : (b + 1) * BLOCK]):
+            dense[x[4], place] = x[5]
+        tops[:, b] = dense.max(axis=1)
+        present = np.flatnonzero(tops[:, b])
+        start.append(start[-1] + len(present))
+        terms.append(present)
+        posts.append(dense[present])
+    index = Index(
+        idf, np.array([x[1] for x in held], np.float64), np.array([x[0] for x in held], np.int64), tops, np.array(start),
+        np.concatenate([np.zeros(0, np.int64), *terms]), np.concatenate([np.zeros((0, BLOCK)), *posts]), float(base), float(blank), 1.0, 0.0,
     )
+    return index, [(x[2], x[3]) for x in held]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -244,47 +260,59 @@ def fit(docs: DataFrame, rows: DataFrame, sample: DataFrame, terms: int) -> Inde
     # the rows of an id differ only if its texts do; one of them is the example
     chosen = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("terms", "counts")).alias("of"))
     examples = [
-        (r["doc_id"], r["label"], np.frombuffer(r["of"]["terms"], np.int32), np.frombuffer(r["of"]["counts"], np.int32))
-        for r in chosen.orderBy("doc_id").collect()  # EXAMPLES rows at most
-    ]
-    index = build(examples, idf)
-    if not len(index.label) or len(set(index.label.tolist())) < 2:
+        (r["doc_id"], r["label"], bytes(r["of"]["terms"]), bytes(r["of"]["counts"])) for r in chosen.orderBy("doc_id").collect()
+    ]  # EXAMPLES rows at most
+    index, held = build(examples, idf)
+    if len(set(index.label.tolist())) < 2:
         return index
-    shared = docs.sparkSession.sparkContext.broadcast((index, {x[0]: (x[2], x[3]) for x in examples}))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((index, held))
 
     def left_out(batches):
-        index, of = shared.value
+        index, held = shared.value
         for batch in batches:
-            votes = []
-            for n in batch["id"].to_pylist():
-                terms, counts = of[int(index.ids[n])]
-                votes.append(index.vote(*index.nearest(terms, index.vector(terms, counts), but=n)))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(votes, pa.float64())], names=["id", "vote"])
-
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    judged = docs.sparkSession.range(0, len(index.label), 1, cores).mapInArrow(left_out, "id long, vote double").collect()
+            for start in range(0, batch.num_rows, AT_ONCE):
+                own = batch["id"].to_numpy()[start : start + AT_ONCE]
+                votes = index.votes(*index.nearest(index.rows([held[i] for i in own]), but=own))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(votes)], names=["id", "vote"])
+
+    numbers = spark.range(0, len(index.label), 1, spark.sparkContext.defaultParallelism)
+    judged = numbers.mapInArrow(left_out, "id long, vote double").collect()  # EXAMPLES rows at most
     votes = np.array([r["vote"] for r in sorted(judged, key=lambda r: r["id"])])
     slope, shift = logistic(_odds(votes), index.label)
-    return Index(**{**index.__dict__, "slope": slope, "shift": shift})
+    return replace(index, slope=slope, shift=shift)
 
 
 def judge(rows: DataFrame, index: Index) -> DataFrame:
     """score, predicted, and evidence (the nearest examples with label and similarity, nearest first) of every vector."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches):
         index = shared.value
         for batch in batches:
-            scores, why = [], []
-            for terms, counts in zip(batch["terms"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                terms, counts = np.frombuffer(terms, np.int32), np.frombuffer(counts, np.int32)
-                number, near = index.nearest(terms, index.vector(terms, counts)) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
-                scores.append(index.probability(index.vote(number, near)) if len(number) else index.blank)
-                facts = zip(index.ids[number].tolist(), index.label[number].astype(int).tolist(), near.tolist(), strict=True)
-                why.append([{"doc_id": i, "label": y, "similarity": s} for i, y, s in facts])
-            arrays = [batch["doc_id"], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(why, kind)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "predicted", "evidence"])
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
+                vectors = list(zip(part["terms"].to_pylist(), part["counts"].to_pylist(), strict=True))
+                different = {v: i for i, v in enumerate(dict.fromkeys(v for v in vectors if v[0]))}
+                number, near = index.nearest(index.rows(list(different)))
+                scores = np.append(index.probability(index.votes(number, near)), index.blank)
+                scores[:-1][(number < 0).all(axis=1)] = index.blank
+                own = np.array([different.get(v, len(different)) for v in vectors], np.int64)
+                number, near = (np.concatenate([x, np.full((1, NEAREST), -1, np.int64)])[own] for x in (number, near))
+                found = number >= 0
+                why = pa.StructArray.from_arrays(
+                    [
+                        pa.array(index.ids[number[found]]), pa.array(index.label[number[found]].astype(np.int32)),
+                        pa.array(near[found] / SCALE**2),
+                    ],
+                    names=["doc_id", "label", "similarity"],
+                )
+                ends = np.concatenate([[0], np.cumsum(found.sum(axis=1))]).astype(np.int32)
+                scores = scores[own]
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), why)],
+                    names=["doc_id", "score", "predicted", "evidence"],
+                )
 
     evidence = "evidence array<struct<doc_id: long, label: int, similarity: double>>"
     return rows.mapInArrow(run, f"doc_id long, score double, predicted int, {evidence}")
