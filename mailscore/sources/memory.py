@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mailscore import constants as c
-from mailscore.operators.schema import normalize_columns
-from mailscore.sources import readers
+from mailscore.operators import ranking
+from mailscore.session import ensure_checkpoint_dir
+from mailscore.sources import records
 
 MANY_SPLITS = 200_000  # rows of a broadcast; beyond it the lines are joined by a shuffle
 _CHUNKS, _CHUNK_HEX = 4, 15
@@ -44,24 +45,27 @@ def file_fingerprints(spark: SparkSession, paths: list[str], head_bytes: int | N
     """path, fingerprint of text files: a digest of their numbered lines, whatever the size and the splits of a file.
 
     A line's number is its place in its split plus the lines of the splits before; so files with the same lines in
-    another order differ. Spark's file sources leave out empty files, which so have none. With ``head_bytes`` only the beginning counts: SHA-256 of so many bytes.
+    another order differ, and, as carriage returns and the file's size count, files with other line ends. Spark's file sources leave out empty files, which so have none. With ``head_bytes`` only the beginning counts: SHA-256 of so many bytes.
     """
     if head_bytes is not None:
         head = F.sha2(F.substring("content", 1, head_bytes), 256)
         files = spark.read.format("binaryFile").load(paths)
         return files.select("path", F.substring(head, 1, c.FINGERPRINT_CHARS).alias("fingerprint"))
     split = ["path", "block"]
-    lines = spark.read.text(paths).select(
+    # split at line feeds alone, so that a carriage return is part of its line
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("bytes"),
         F.monotonically_increasing_id().alias("id"),
         "value",
     )
+    split = ["path", "block"]
     sizes = lines.groupBy(*split).agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*split, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     numbered = lines.join(F.broadcast(starts) if starts.count() <= MANY_SPLITS else starts, split)
-    sha = F.sha2(F.concat_ws("|", F.col("id") + F.col("shift"), "value"), 256)
+    sha = F.sha2(F.concat_ws("|", F.col("id") + F.col("shift"), "bytes", "value"), 256)
     return numbered.groupBy("path").agg(multiset_digest(sha).alias("fingerprint"))
 
 
@@ -82,68 +86,97 @@ def with_status(
 
 
 class DatasetMemory:
-    """History folder: ``data/dataset_hash=…`` in Parquet, plus a manifest of one line per data set."""
+    """History folder: ``rows/rejected=…/dataset_hash=…`` in Parquet, plus a manifest of one line per data set.
+
+    Rows that could not be read are kept under ``rejected=true``, with what they were in the column ``_bad_row``.
+    """
+
+    MANIFEST = "fingerprint string, source string, columns string, n_rows bigint, n_rejected bigint"
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.data = f"{root}/data"
+        self.data = f"{root}/rows"
         self.manifest_path = f"{root}/manifest"
 
-    def manifest(self) -> DataFrame:
-        """fingerprint, source, columns (a JSON list) of every cached data set."""
-        schema = "fingerprint string, source string, columns string"
+    def _stored(self, schema: str, path: str) -> DataFrame:
         try:
-            stored = self.spark.read.schema(schema).parquet(self.manifest_path)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
-        return stored.dropDuplicates(["fingerprint"])
 
-    def cache(self, paths: list[str]) -> dict[str, str]:
-        """Store the files whose content is new; returns path → ``[CACHE]`` or ``[SKIP]``.
+    def manifest(self) -> DataFrame:
+        """fingerprint, source, columns (a JSON list), n_rows, n_rejected of every cached data set."""
+        return self._stored(self.MANIFEST, self.manifest_path).dropDuplicates(["fingerprint"])
 
-        New files that share a layout are read and written by one job. The data
-        goes before the manifest and replaces what a broken run left, so that a
-        repeated run ends in the same state.
-        """
-        found = file_fingerprints(self.spark, paths)
-        rows = unseen(found, self.manifest()).collect()  # one row per file
-        fresh = {r.path: r.fingerprint for r in rows}
-        groups: dict[object, list[str]] = {}
-        for path in sorted(fresh):
-            is_json = readers.suffix_of(path) == ".json"
-            groups.setdefault(path if is_json else readers.layout_of(self.spark, path), []).append(path)
-        for layout, members in groups.items():
-            if isinstance(layout, str):
-                rows_df = readers.read_json(self.spark, layout).withColumn("_path", F.lit(layout))
-            else:
-                rows_df = readers.read_delimited(self.spark, members, layout, with_path=True)[0]
-            self._store(rows_df, {p: fresh[p] for p in members})
-        cached = {_bare(p) for p in fresh}
+    def cache(self, paths: list[str]) -> dict[str, str]:
+        """Store the files whose content is new; returns path → ``[CACHE]`` or ``[SKIP]``."""
+        cached = {_bare(r.source) for r in self.intake(paths).where("status = '[CACHE]'").collect()}  # the outcome
         return {p: "[CACHE]" if _bare(p) in cached else "[SKIP]" for p in paths}
 
-    def _store(self, rows: DataFrame, hashes: dict[str, str]) -> None:
-        names = self.spark.createDataFrame([(_bare(p), h) for p, h in hashes.items()], "_key string, dataset_hash string")
-        keyed = normalize_columns(rows.withColumnRenamed("_path", "_path_")).withColumnRenamed("_path_", "_path")
-        columns = [x for x in keyed.columns if x != "_path"]
-        keyed = keyed.withColumn("_key", F.regexp_replace("_path", "^[a-z0-9]+:/+", "/"))
-        stored = keyed.join(names, "_key").select(*[F.col(x).cast("string") for x in columns], "dataset_hash")
-        (
-            stored.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dataset_hash")
-            .parquet(self.data)
+    def intake(self, paths: list[str]) -> DataFrame:
+        """Store the files whose content is new; source, fingerprint, status, n_rows, n_rejected of every file.
+
+        All files are sniffed, read and written together, whatever their formats and layouts, so the number of jobs does
+        not grow with them. Rows go before the manifest and replace what a broken run left, so that a repeated run ends
+        in the same state. Files without a line have no row here.
+        """
+        ensure_checkpoint_dir(self.spark)
+        found = file_fingerprints(self.spark, paths).withColumnRenamed("path", "source")
+        outcome = with_status(found, self.manifest(), "fingerprint", "source").checkpoint()  # a row for each file
+        fresh = outcome.where("status = '[CACHE]'").select("source", "fingerprint")
+        names = [r.source for r in fresh.select("source").collect()]  # as the caller's list of paths
+        if names:
+            self._store(names, fresh)
+        counts = self.manifest().select("fingerprint", "n_rows", "n_rejected")
+        return outcome.select("source", "fingerprint", "status").join(counts, "fingerprint", "left")
+
+    def _store(self, paths: list[str], fresh: DataFrame) -> None:
+        lines = records.numbered_lines(self.spark, [unquote(p) for p in paths])
+        files = records.layouts(lines).checkpoint()  # a row for each file
+        width, json_files = files.agg(F.max(F.size("names")), F.count_if("is_json")).first()
+        parts = [records.delimited_rows(lines, files, width)] if width else []
+        named = files.where("NOT is_json").select("path", "names")
+        if json_files:
+            objects = records.json_rows(lines, files)
+            parts.append(objects)
+            keys = objects.select("path", F.explode("names").alias("name"))
+            named = named.unionAll(keys.groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("names")))
+        named = named.checkpoint()
+        columns = [r.name for r in named.select(F.explode("names").alias("name")).distinct().orderBy("name").collect()]  # the schema
+        if parts:
+            keyed = reduce(DataFrame.unionAll, parts).join(ranking.broadcast_if_small(fresh.withColumnRenamed("source", "path")), "path")
+            rejected = F.col("bad_row").isNotNull()
+            good = keyed.withColumn("values", F.when(~rejected, F.col("values")))
+            wide = records.by_name(
+                good, columns, F.col("bad_row").alias("_bad_row"), rejected.alias("rejected"), F.col("fingerprint").alias("dataset_hash")
+            )
+            (
+                wide.write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("rejected", "dataset_hash")
+                .parquet(self.data)
+            )
+        written = self._stored("_bad_row string, rejected boolean, dataset_hash string", self.data)
+        counts = written.groupBy(F.col("dataset_hash").alias("fingerprint")).agg(
+            F.count_if(~F.col("rejected")).alias("n_rows"), F.count_if("rejected").alias("n_rejected")
         )
-        listed = json.dumps(columns)
-        self.spark.createDataFrame(
-            [(h, p, listed) for p, h in hashes.items()], "fingerprint string, source string, columns string"
-        ).coalesce(1).write.mode("append").parquet(self.manifest_path)
+        lines_of = named.select(F.col("path").alias("source"), F.to_json("names").alias("columns"))
+        none = {"columns": "[]", "n_rows": 0, "n_rejected": 0}
+        listed = fresh.join(lines_of, "source", "left").join(counts, "fingerprint", "left").fillna(none)
+        listed.select("fingerprint", "source", "columns", "n_rows", "n_rejected").write.mode("append").parquet(self.manifest_path)
+
+    def rejected(self) -> DataFrame:
+        """dataset_hash, _bad_row of every row that could not be read."""
+        stored = self._stored("_bad_row string, rejected boolean, dataset_hash string", self.data)
+        return stored.where("rejected").select("dataset_hash", "_bad_row")
 
     def columns(self) -> list[str]:
-        """All column names of the history, in order of first appearance."""
-        lists = [json.loads(r.columns) for r in self.manifest().orderBy("source").select("columns").collect()]
-        return list(reduce(lambda seen, cols: seen | dict.fromkeys(cols), lists, {}))
+        """All column names of the history, in order of first appearance by source and place."""
+        listed = self.manifest().select("source", F.posexplode(F.from_json("columns", "array<string>")).alias("place", "name"))
+        first = listed.groupBy("name").agg(F.min(F.struct("source", "place")).alias("first"))
+        return [r.name for r in first.orderBy("first").collect()]  # the schema
 
     def load(self) -> DataFrame:
         """All data sets as one table by column name; a column a set lacks is null there.
@@ -153,8 +186,8 @@ class DatasetMemory:
         columns = self.columns()
         if not columns:
             raise RuntimeError("the history holds no data set")
-        schema = ", ".join([f"`{x}` string" for x in columns] + ["dataset_hash string"])
-        return self.spark.read.schema(schema).parquet(self.data)
+        schema = ", ".join([f"`{x}` string" for x in columns] + ["rejected boolean", "dataset_hash string"])
+        return self._stored(schema, self.data).where("NOT rejected").drop("rejected")
 
 
 def _bare(path: str) -> str:

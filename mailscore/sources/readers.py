@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mailscore import constants as c
 from mailscore.functions.mime import valid_text
+from mailscore.sources import records
 
 SNIFF_LINES = 20
 BAD_ROW = "_bad_row"
@@ -102,8 +103,20 @@ def read_delimited(
 
     Rows with too many fields are rejected, rows with too few are filled with
     nulls. Files in both encodings are read byte for byte and decoded after the
-    split, as separators and quotes are plain ASCII.
+    split, as separators and quotes are plain ASCII. A file with line breaks
+    inside fields is read by as many tasks as it has splits (see records);
+    where there are none, ``multiline=False`` saves the shuffle that needs.
     """
+    extra = ["_path"] if with_path else []
+    if multiline:
+        lines = records.numbered_lines(spark, paths)
+        names = F.array(*[F.lit(n) for n in layout.columns])
+        files = records.layouts(lines, layout.sep).withColumns({"utf8": F.lit(layout.utf8), "is_json": F.lit(False), "names": names})
+        rows = records.delimited_rows(lines, files, len(layout.columns)).withColumnRenamed("path", "_path")
+        values = [F.get("values", F.lit(i)).alias(n) for i, n in enumerate(layout.columns)]
+        good, bad = rows.where("bad_row IS NULL"), rows.where("bad_row IS NOT NULL")
+        return good.select(*values, *extra), bad.select(F.col("bad_row").alias(BAD_ROW), *extra)
+
     # one more column than the header: whatever lands in it marks an over-long row
     names = [f"c{i}" for i in range(len(layout.columns))]
     schema = ", ".join(f"`{n}` string" for n in [*names, "_extra"])
@@ -112,7 +125,6 @@ def read_delimited(
         .option("sep", layout.sep)
         .option("header", "true")
         .option("enforceSchema", "true")
-        .option("multiLine", str(multiline).lower())
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "ISO-8859-1")
@@ -127,7 +139,6 @@ def read_delimited(
         value = F.col(name)
         return F.decode(F.encode(value, "ISO-8859-1"), "UTF-8") if layout.utf8 else value
 
-    extra = ["_path"] if with_path else []
     good = raw.where(F.col("_extra").isNull()).select(
         *[text(n).alias(column) for n, column in zip(names, layout.columns)], *extra
     )
@@ -137,12 +148,16 @@ def read_delimited(
     return good, bad
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, or one JSON array per file; every field as a string."""
-    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.ltrim("value").alias("v")).first()
-    is_array = bool(first) and first.v.startswith("[")
-    reader = spark.read.option("primitivesAsString", "true").option("multiLine", str(is_array).lower())
-    return reader.json(path)
+def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """JSON lines or one JSON array, as each file has it; every field as a string, columns by their names in order.
+
+    Lines and files that cannot be read are left out; ``records.json_rows`` has them.
+    """
+    lines = records.numbered_lines(spark, path)
+    files = records.layouts(lines).withColumn("is_json", F.lit(True))
+    rows = records.json_rows(lines, files, raw_names=True).where("bad_row IS NULL")
+    names = sorted(r.name for r in rows.select(F.explode("names").alias("name")).distinct().collect())  # the schema
+    return records.by_name(rows, names)
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, multiline: bool = True) -> DataFrame:
