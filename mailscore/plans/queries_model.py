@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from mailscore import constants as c
 from mailscore.functions import risk
 from mailscore.functions import text as tx
-from mailscore.operators import evaluation, schema, store
+from mailscore.operators import evaluation, schema, scoring, store
 from mailscore.operators import terms as tm
+from mailscore.plans import forest
 from mailscore.plans import oracle as o
 from mailscore.plans import train as tr
 from mailscore.plans.queries_corpus import labelled
@@ -214,8 +215,9 @@ def domain_index(spark, sf):
 def feature_vectors(spark, sf):
     """Width and filled places of the combined vectors."""
     rows = tr.fit_features(feature_rows(spark, sf).select("label", *c.FEATURE_COLUMNS), tr.Settings())[1]
-    v = vector_to_array("features")
-    return rows.select("label", F.size(v).alias("width"), F.size(F.filter(v, lambda x: x != 0)).alias("filled"))
+    v = F.unwrap_udt("features")  # as it is stored: only filled places of a sparse one
+    width = F.coalesce(v["size"], F.size(v["values"]))
+    return rows.select("label", width.alias("width"), F.size(F.filter(v["values"], lambda x: x != 0)).alias("filled"))
 
 
 @R.query(
@@ -228,10 +230,17 @@ def stratified_split(spark, sf):
     return split.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("is_test")).alias("n_test"))
 
 
+_RUNS: dict[tuple[str, str], tr.TrainingRun] = {}
+
+
 def whole_run(spark, sf) -> tr.TrainingRun:
-    """A training run with the default settings on all labelled emails."""
-    rows = feature_rows(spark, sf).select("email_id", "label", *c.FEATURE_COLUMNS)
-    return tr.train(rows, tr.Settings(), version="check", row_id="email_id")
+    """A training run with the default settings on all labelled emails; one for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        rows = feature_rows(spark, sf).select("email_id", "label", *c.FEATURE_COLUMNS)
+        _RUNS.clear()
+        _RUNS[key] = tr.train(rows, tr.Settings(), version="check", row_id="email_id")
+    return _RUNS[key]
 
 
 @R.query("ml5_boosted_trees")
@@ -251,3 +260,15 @@ def batch_probability(spark, sf):
         risk.round6(F.col("ensemble_score")).alias("ensemble_score"),
         "classification",
     )
+
+
+@R.query("ml7_forest_probability", "SELECT email_id, true AS same, true AS valid FROM emails")
+def forest_probability(spark, sf):
+    """Whether the trees, as a table, give every email the probability that the model gives it (to 1e-9)."""
+    model = whole_run(spark, sf).model
+    rows = scoring.extract_features(texts(spark, sf).withColumn("_raw", F.col("text")), "_raw").withColumn("text", tx.normalize_text(F.col("_raw")))
+    by_model = model.stages.transform(tm.add_terms(rows, "text", stop_words=model.stop_words)).withColumn("_theirs", vector_to_array("probability")[1])
+    scored = forest.with_probability(by_model, forest.nodes_of(spark, model.stages).checkpoint())
+    return scored.select(
+        "email_id", (F.abs(F.col("probability") - F.col("_theirs")) < 1e-9).alias("same"), F.col("probability").between(0, 1).alias("valid")
+    )
