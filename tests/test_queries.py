@@ -13,10 +13,11 @@ from check import rows_of
 COMPARED = [
     "src8_dataset_memory", "src13_flatten_messages", "src14_keyed_insert", "prj4_auto_detect", "prj7_overrides",
     "sc19_score_record", "sc23_segment_reasons", "wn2_prediction_history", "jn4_orphan_predictions", "ag6_length_crosstab",
+    "src1_tolerant_read", "src3_json_forms", "src8_file_intake", "src9_history_files", "src16_model_version", "prj3_label_column",
     "ag12_dashboard", "ag13_classification_report", "tk1_indicator_terms", "sc25_score_by_terms",
 ]
 # these run jobs while they are planned
-EAGER = re.compile("^(ml|st2|ag16|ag17|tk1|sc25)")
+EAGER = re.compile("^(ml|st[123]_|ag16|ag17|tk1|sc25|src[1-6]_|src8_file|src9_history_files|src1[0126]_)")
 
 
 @pytest.fixture(scope="module")
