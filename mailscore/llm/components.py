@@ -7,7 +7,9 @@ the node, written to the shared folder, so no component is ever gathered in one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailscore.session import ensure_checkpoint_dir
@@ -27,6 +29,15 @@ def _small(links: DataFrame) -> DataFrame:
     return tied.unionAll(lowest.select("a", F.col("m").alias("b"))).distinct()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle and checkpoint files of tables that nothing refers to any more.
+
+    It does so when the driver collects garbage, which a loop of many small steps does not bring about by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (smallest node of its component) for every node with a link other than to itself.
 
@@ -44,3 +55,4 @@ def components(links: DataFrame) -> DataFrame:
                 links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         before = now
+        release(links.sparkSession)

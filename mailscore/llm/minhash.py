@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailscore.llm.blocks import byte_texts, flat_words, hash_words, ngram_hashes, slices
-from mailscore.llm.components import components
+from mailscore.llm.components import components, release
 from mailscore.session import ensure_checkpoint_dir
 
 SHINGLE = 5
@@ -213,14 +213,20 @@ def linked(classes: DataFrame, texts: DataFrame, matches: int = MATCHES, percent
     tries = two.select(F.explode(F.array("one", "two")).alias("a"), "b")
     tries = tries.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = confirmed(tries, texts, percent).checkpoint()
-    roots = components(first)
+    del hubs, met, near, two, tries
+    release(first.sparkSession)
+    roots = components(first).checkpoint()
+    release(first.sparkSession)
     placed = posts.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "token", "rep", F.coalesce("root", "rep").alias("root")
     )
     split = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     open_ = placed.join(split, "token").select("rep", "root").distinct().checkpoint()
     second = colliding(apart(open_, texts, percent), classes, matches).select("a", "b")
-    return first.unionAll(confirmed(second, texts, percent))
+    both = first.unionAll(confirmed(second, texts, percent)).checkpoint()
+    del posts, roots, placed, split, open_, second
+    release(both.sparkSession)
+    return both
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,10 +37,23 @@ ASSIGNED = r"(?<![\p{L}\p{N}])(?i:token|secret|password|passwd|api_?key)[\"']?\s
 KEY = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}])"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)"
-# groups of figures as far as they go, but not into an address or a number of another kind; cards() looks for cards in them
-RUN = rf"(?<![\d.])\d(?:(?:[ \-](?!(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)|(?<=[ ])\d{{3}}-\d{{2}}-\d{{4}}(?![\d\-])))?\d){{12,}}+"
-ANY = "|".join((ASSIGNED, EMAIL, NAME, KEY, IP, SSN, PHONE, RUN))
+PHONE = r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d\-])[2-9]\d{2}-[2-9]\d{2}-\d{4}(?![\d\-])"
+
+
+def _grouped(sep: str, other: str) -> str:
+    """Four groups of four figures that are no part of a longer list of such groups, or 4-6-5 figures."""
+    four = rf"(?<!^\d{{4}}{sep})(?<![^\d{other}]\d{{4}}{sep})\d{{4}}(?:{sep}\d{{4}}){{3}}(?!{sep}\d{{4}}(?!\d|{other}\d))"
+    return rf"(?<![\d.])(?:{four}|\d{{4}}{sep}\d{{6}}{sep}\d{{5}})(?!\.?\d)"
+
+
+# numbers that may be cards by their form; kind() asks for issuer, length and check digit
+CARD = "|".join((_grouped(" ", "-"), _grouped("-", " "), r"(?<![\d.])\d{13,19}(?!\.?\d)"))
+# fixed values: first figures and lengths by issuer
+ISSUED = (
+    r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|(?:30[0-5]|3[689]\d)\d{11}"
+    r"|(?:6011|64[4-9]\d|65\d\d|35(?:2[89]|[3-8]\d)|62\d\d)\d{12}(?:\d{3})?)$"
+)
+ANY = "|".join((ASSIGNED, EMAIL, NAME, KEY, IP, SSN, PHONE, CARD))
 # without one of these a text holds no entity; looked for first
 HINT = rf"[@0-9]|[=:]\s{{0,3}}[\"']|(?:{TITLES})\.? \p{{Lu}}"
 OTHER = "none"
@@ -66,7 +79,7 @@ def luhn(number: Column) -> Column:
 
 
 def kind(found: Column) -> Column:
-    """Type of what the expression found; a run of figures that is no card number as a whole is none."""
+    """Type of what the expression found; a number that only has the form of a card is none."""
     is_ = lambda e: found.rlike(rf"^(?:{e})$")
     return (
         F.when(is_(ASSIGNED), "secret")
@@ -75,64 +88,14 @@ def kind(found: Column) -> Column:
         .when(is_(KEY), "secret")
         .when(is_(IP), "ip")
         .when(is_(SSN), "ssn")
-        .when(found.rlike(r"^[+(]"), "phone")
+        .when(found.rlike(r"^[+(]|^\d{3}-\d{3}-\d{4}$"), "phone")
         .when(is_card(digits(found)), "card")
         .otherwise(OTHER)
     )
 
 
 def is_card(number: Column) -> Column:
-    return F.length(number).between(13, 19) & (luhn(number) % 10 == 0)
-
-
-def cards(run: Column) -> Column:
-    """type and found of the parts of a run of figures: the card numbers in it and what stands between them, in order.
-
-    A card begins and ends at borders of groups. Groups of 4-4-4-4 or 4-6-5 figures go before other parts; of parts that
-    overlap the first is taken, and the longest of those with one beginning.
-    """
-    part = lambda groups, i, n: F.slice(groups, i + 1, n)
-
-    def usual(groups):
-        sizes = F.array_join(F.transform(groups, lambda g: F.length(g).cast("string")), "-")
-        return sizes.isin("4-4-4-4", "4-6-5")
-
-    def valid(groups):
-        def at(i):
-            sizes = F.sequence(F.least(F.lit(19), F.size(groups) - i), F.lit(1), F.lit(-1))
-            whole = F.filter(sizes, lambda n: is_card(F.array_join(part(groups, i, n), "")))
-            return F.transform(whole, lambda n: F.struct(i.alias("i"), n.alias("n"), usual(part(groups, i, n)).alias("usual")))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), at))
-
-    def chosen(found):
-        first = F.filter(found, lambda x: x["usual"])
-        start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<i:int,n:int,usual:boolean>>").alias("taken"))
-
-        def step(a, x):
-            other = F.exists(first, lambda y: (y["i"] < x["i"] + x["n"]) & (x["i"] < y["i"] + y["n"]))
-            take = (x["i"] >= a["free"]) & (x["usual"] | ~other)
-            return F.struct(F.when(take, x["i"] + x["n"]).otherwise(a["free"]).alias("free"), F.when(take, F.array_append(a["taken"], x)).otherwise(a["taken"]).alias("taken"))
-
-        return F.aggregate(found, start, step, lambda a: a["taken"])
-
-    def typed(type_, found):
-        return F.struct(type_.alias("type"), found.alias("found"))
-
-    def cut(groups, taken):
-        until = lambda i: F.length(F.array_join(F.slice(groups, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<type:string,found:string>>").alias("parts"))
-
-        def step(a, x):
-            begin, size = until(x["i"]), F.length(F.array_join(part(groups, x["i"], x["n"]), " "))
-            before = typed(F.lit(OTHER), F.substring(run, a["end"] + 1, begin - a["end"]))
-            return F.struct((begin + size).alias("end"), F.concat(a["parts"], F.array(before, typed(F.lit("card"), F.substring(run, begin + 1, size)))).alias("parts"))
-
-        return F.aggregate(taken, start, step, lambda a: F.array_append(a["parts"], typed(F.lit(OTHER), F.substring(run, a["end"] + 1, F.length(run)))))
-
-    # arrays of one, whose lambdas take what has been worked out once
-    groups = F.array(F.split(run, "[ \\-]"))
-    return F.flatten(F.transform(groups, lambda g: F.flatten(F.transform(F.array(valid(g)), lambda v: F.flatten(F.transform(F.array(chosen(v)), lambda t: cut(g, t)))))))
+    return number.rlike(ISSUED) & (luhn(number) % 10 == 0)
 
 
 def canonical(type_: Column, found: Column) -> Column:
@@ -233,13 +196,11 @@ def rendered(type_: Column, found: Column, made: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """type, found and entity of the parts of everything that the expression finds in a text, in order."""
+    """type, found and entity of everything that the expression finds in a text, in order."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     typed = F.transform(found, lambda m: F.struct(kind(m).alias("type"), m.alias("found")))
-    parts = F.transform(typed, lambda e: F.when((e["type"] == OTHER) & e["found"].rlike("[ \\-]"), cards(e["found"])).otherwise(F.array(e)))
     named = lambda e: F.struct(e["type"].alias("type"), e["found"].alias("found"), canonical(e["type"], e["found"]).alias("entity"))
-    whole = F.transform(parts, lambda p: F.transform(p, named))
-    return F.when(text.rlike(HINT), whole).otherwise(F.array().cast("array<array<struct<type:string,found:string,entity:string>>>"))
+    return F.when(text.rlike(HINT), F.transform(typed, named)).otherwise(F.array().cast("array<struct<type:string,found:string,entity:string>>"))
 
 
 def exceptions(known: DataFrame, key: str) -> DataFrame | None:
@@ -261,32 +222,45 @@ def exceptions(known: DataFrame, key: str) -> DataFrame | None:
         later = raised.where("attempt > 0").select("type", "entity", "attempt").checkpoint()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}" in taken:
+            name += "_"
+        out.append(f"_{name}")
+    return out
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
     """Every row with its text rewritten, all other columns as they are, and the number of entities replaced.
 
+    Looked for: mail addresses, names after a title, phone numbers (international, with an area code in brackets, or
+    3-3-4 figures), addresses of version 4, social security numbers, cards (by form, issuer, length and check digit), keys
+    and secrets. Lists of numbers stay as they are, and so do names without a title.
     Null stays null; texts without an entity stay as they are; repeated rows are rewritten alike. ``key`` is the secret of
     the surrogates: with the same key another corpus gets the same ones, but for entities that collide there.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    f_, new_, text_, later_ = unused(docs, "found", "new", "text", "later")
     found = entities(F.col(text_col))
-    known = docs.select(F.explode(F.flatten(found)).alias("e")).select("e.type", "e.entity").where(F.col("type") != OTHER).distinct().checkpoint()
+    known = docs.select(F.explode(found).alias("e")).select("e.type", "e.entity").where(F.col("type") != OTHER).distinct().checkpoint()
     later = exceptions(known, key)
-    rows = docs.withColumn("_found", found)
+    rows = docs.withColumn(f_, found)
     attempt = lambda e: F.lit(0)
     if later is not None:  # by the text itself: equal texts have equal exceptions
-        rows = rows.withColumn("_text", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-        held = rows.select("_text", F.explode(F.flatten("_found")).alias("e")).select("_text", "e.type", "e.entity").join(later, ["type", "entity"])
+        rows = rows.withColumn(text_, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+        held = rows.select(text_, F.explode(f_).alias("e")).select(text_, "e.type", "e.entity").join(later, ["type", "entity"])
         name = F.concat_ws("\x1f", "type", "entity")
-        table = held.select("_text", name.alias("name"), "attempt").distinct().groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("_later"))
-        rows = rows.join(table, "_text", "left").drop("_text")
-        attempt = lambda e: F.coalesce(F.element_at("_later", F.concat_ws("\x1f", e["type"], e["entity"])), F.lit(0))
+        table = held.select(text_, name.alias("name"), "attempt").distinct().groupBy(text_).agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias(later_))
+        rows = rows.join(table, text_, "left").drop(text_)
+        attempt = lambda e: F.coalesce(F.element_at(later_, F.concat_ws("\x1f", e["type"], e["entity"])), F.lit(0))
     new = lambda e: rendered(e["type"], e["found"], surrogate(e["type"], e["entity"], attempt(e), key))
-    made = F.transform("_found", lambda p: F.array_join(F.transform(p, new), ""))
     between = F.split(F.col(text_col), ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, made, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    text = F.when(F.size("_found") > 0, joined).otherwise(F.col(text_col))
-    out = rows.withColumn("_new", text)
-    columns = [F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
+    joined = F.array_join(F.flatten(F.zip_with(between, F.transform(f_, new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    text = F.when(F.size(f_) > 0, joined).otherwise(F.col(text_col))
+    out = rows.withColumn(new_, text)
+    columns = [F.col(new_).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
     if count_col:
-        columns.append(F.size(F.filter(F.flatten("_found"), lambda e: e["type"] != OTHER)).cast("long").alias(count_col))
+        columns.append(F.size(F.filter(f_, lambda e: e["type"] != OTHER)).cast("long").alias(count_col))
     return out.select(*columns)

@@ -173,6 +173,21 @@ def test_cards_beside_other_figures(spark):
     assert new[8:] == said[8:] and all(len(a) == len(b) for k, (a, b) in enumerate(zip(new, said)) if k != 5)
 
 
+def test_lists_of_numbers_stay(spark):
+    """Years, pages, results, books and phone-like tables are no cards; columns of the caller keep their values."""
+    draw = random.Random(2)
+    said = [" ".join(map(str, range(1, n))) for n in (10, 20, 30, 100)]
+    said += [" ".join(map(str, range(1990, 2025))), "-".join(map(str, range(1000, 1024))), "1111 2222 3333 4444", "ISBN 9780306406157, 978-0-306-40615-7"]
+    said += [" ".join(str(draw.randint(0, 99999)) for _ in range(40)) for _ in range(20)]
+    said += [" ".join(str(draw.randint(4000, 4999)) for _ in range(n)) for n in (5, 6, 7, 9, 40)] + ["7 " * 300_000]
+    frame = spark.createDataFrame([(i, t, "f", "n", "t", "l") for i, t in enumerate(said)], "doc_id long, text string, _found string, _new string, _text string, _later string")
+    got = sorted(surrogates.pseudonymise(frame, "k").collect())
+    assert [r.text for r in got] == said and {r.n_entities for r in got} == {0}
+    assert {tuple(r)[2:6] for r in got} == {("f", "n", "t", "l")}
+    mixed = surrogates.pseudonymise(table(spark, [(0, "call 614-555-8001 or 614-555-8001, not 1-614-555-8001-2")]), "k").first().text.replace(",", "").split()
+    assert mixed[1] == mixed[3] != "614-555-8001" and mixed[1].count("-") == 2 and mixed[5] == "1-614-555-8001-2"
+
+
 def test_surrogate_collisions(spark, monkeypatch):
     """With a tiny space of surrogates distinct entities still get distinct ones, none of them real."""
     made = surrogates.surrogate
