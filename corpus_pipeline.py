@@ -22,16 +22,26 @@ SURE = 0.5  # a text whose language is less probable than this is rejected
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter or without a probable language; ``lang`` becomes the language found."""
+    """Rejects texts without a letter or without a probable language; ``lang`` becomes the language found.
+
+    Where no row has a language to learn from, every text with a letter stays as it is.
+    """
     importable(spark)
     model = language_id.fit(language_id.training_rows(docs))
-    found = language_id.predict(docs, model, lang="_lang", prob="_prob")
-    kept = found.where((F.col("_lang") != language_id.UNDETERMINED) & (F.col("_prob") >= SURE))
-    return kept.select(*[F.col("_lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    if not model.langs:
+        return docs.where(F.rlike("text", F.lit(r"\p{L}")))
+    lang, prob = surrogates.unused(docs, "lang", "prob")
+    found = language_id.predict(docs, model, lang=lang, prob=prob)
+    kept = found.where((F.col(lang) != language_id.UNDETERMINED) & (F.col(prob) >= SURE))
+    return kept.select(*[F.col(lang).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near copies, once."""
+    """Keeps the document with the smallest id of every group of near copies, once.
+
+    Rows that share an id are one document: of differing texts the one with the smallest SHA-256 stays. Rows without an
+    id all stay.
+    """
     importable(spark)
     groups = minhash.near_duplicates(docs).checkpoint()
     gone = groups.where("NOT kept").select("doc_id").distinct()
@@ -40,7 +50,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(left.where("doc_id IS NULL"))
+    row = F.struct(*docs.columns)
+    first = F.min_by(row, F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.to_json(row)))
+    once = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(first.alias("row")).select("row.*")
+    return once.unionAll(left.where("doc_id IS NULL"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
