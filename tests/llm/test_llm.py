@@ -399,3 +399,17 @@ def test_pipeline_stages(spark, sf, docs):
     assert len(ids) == len(set(ids)) and same.where("n_chars <> length(text)").count() == 0
     last = corpus_pipeline.STAGES[-1][1](spark, same, sf)
     assert last.select("doc_id").distinct().count() >= len(ids)
+
+
+def test_pipeline_without_languages_and_with_repeated_ids(spark, sf):
+    rows = [(1, "some words", None, "s", 10), (2, "12 34", None, "s", 5), (3, "other text of three", None, "s", 3), (3, "a text of three", None, "s", 3), (None, "no id", None, "s", 1)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _lang string")
+    left = corpus_pipeline.languages(spark, docs, sf)
+    assert sorted((r.text for r in left.collect())) == ["a text of three", "no id", "other text of three", "some words"]
+    assert left.columns == docs.columns
+    for _ in range(2):
+        once = corpus_pipeline.near_duplicates(spark, left.repartition(3), sf).collect()
+        smallest = min(("other text of three", "a text of three"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+        assert sorted(r.text for r in once) == sorted(["some words", "no id", smallest])
+    known = docs.withColumn("lang", F.lit("en"))
+    assert {r._lang for r in corpus_pipeline.languages(spark, known, sf).collect()} <= {"x"}
