@@ -3,6 +3,9 @@
 import glob
 import os
 import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -41,6 +44,19 @@ def test_every_check_has_a_query():
     assert len(entry.queries()) > 100
 
 
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_imports_without_the_optional_part(tmp_path, gone):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for name in ("mailscore", "__spark_entry__.py", "corpus_pipeline.py"):
+        here, there = os.path.join(root, name), tmp_path / name
+        if os.path.isdir(here):
+            shutil.copytree(here, there, ignore=shutil.ignore_patterns(*gone, "__pycache__"))
+        elif name not in gone and os.path.exists(here):
+            shutil.copy(here, there)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op1') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.count() == 200 and "ensemble_score" in df.columns
