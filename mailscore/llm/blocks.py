@@ -41,6 +41,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4000, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Small batches put together, up to so many rows or bytes, for work that gains from many rows at once."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """A text column as UTF-8 byte strings, null as empty."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())

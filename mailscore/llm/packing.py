@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailscore.llm.blocks import byte_texts, slices
+from mailscore.llm.blocks import byte_texts, gathered
 from mailscore.session import ensure_checkpoint_dir
 
 CAP = 1024
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END_ID, ids
 
     def run(batches):
         tool = encoder(path)
-        for batch in slices(batches, 500):
+        for batch in gathered(batches):
             out: list[list] = [[], [], [], [], [], []]
             for doc, coded in zip(batch.column(0).to_pylist(), tool.encode(byte_texts(batch)), strict=True):
                 whole = coded + end
