@@ -36,7 +36,7 @@ def term_frequencies(spark, sf):
 
 
 def differences(spark, sf) -> tuple[DataFrame, tm.Weights]:
-    df = labelled_mail(spark, sf)
+    df = tm.tokenized(labelled_mail(spark, sf), "body")
     weights = tm.Weights.fit(df, "body")
     return tm.class_differences(df, weights, "body"), weights
 
@@ -97,8 +97,8 @@ def score_by_terms(spark, sf):
 )
 def tfidf(spark, sf):
     """Size, sum and largest weight of every TF-IDF vector."""
-    df = labelled_mail(spark, sf)
-    w = F.filter(vector_to_array("tfidf"), lambda x: x > 0)
+    df = tm.tokenized(labelled_mail(spark, sf), "body")
+    w = F.filter(F.unwrap_udt("tfidf")["values"], lambda x: x > 0)  # filled places only
     rows = tm.Weights.fit(df, "body").tfidf(df, "body").select("email_id", w.alias("w")).where(F.size("w") > 0)
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     return rows.select(

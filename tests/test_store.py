@@ -178,6 +178,34 @@ def test_vocabulary_is_exact(spark, size):
     assert got == [(t, n, dfs[t]) for t, n in want]
 
 
+def test_pruning_by_buckets_is_exact(spark, monkeypatch):
+    """Few buckets let more terms through and lose none; most of what cannot be in the vocabulary goes before it is counted."""
+    rnd = random.Random(9)
+    docs = [" ".join(f"w{int(rnd.paretovariate(0.7)) % 900}" for _ in range(60)) for _ in range(300)] + ["", None, "w1"]
+    df = spark.createDataFrame([(d,) for d in docs], "text string")
+    cf, dfs = term_counts([d for d in docs if d])
+    want = sorted(cf.items(), key=lambda kv: (-kv[1], kv[0]))[:40]
+    words = tm.tokenized(df, "text")
+    for buckets in (64, 1 << 18):
+        monkeypatch.setattr(tm, "BUCKETS", buckets)
+        assert [(r.term, r.cf, r.df) for r in tm.vocabulary(words, "text", 40).collect()] == [(t, n, dfs[t]) for t, n in want]
+    left = tm.frequent_terms(words, "text", 40).select(F.explode("terms").alias("t")).distinct().count()
+    assert left < len(cf) / 10
+
+
+def test_scores_by_terms_stay_in_their_row(spark):
+    df = spark.createDataFrame([("aa bb", 1), ("aa aa cc", 0)] * 3, "text string, label int")
+    w = tm.Weights.fit(df, "text")
+    diff = tm.class_differences(df, w, "text").checkpoint()
+    rows = spark.createDataFrame([(1, "bb aa bb"), (2, "zz"), (3, None), (4, "cc")], "k int, text string")
+    told = tm.score_by_terms(rows, "text", diff, ["k"], w)
+    known = {r.term: r.diff for r in diff.collect()}
+    got = {r.k: (r.matched, r.avg_score) for r in told.collect()}
+    assert got == {1: (3, pytest.approx((known["aa"] + known["bb"] + known["aa bb"]) / 3)), 4: (1, pytest.approx(known["cc"]))}
+    assert "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    assert tm.score_by_terms(rows, "text", diff.limit(0), ["k"], w).count() == 0
+
+
 def test_tfidf_weights(spark):
     docs = [("aa bb", 1), ("aa aa cc", 0), ("", 0), (None, 1)]
     df = spark.createDataFrame(docs, "text string, label int")
