@@ -33,8 +33,11 @@ def decoded(data: Column) -> Column:
 
 def valid_text(raw: Column) -> Column:
     """Bytes as text; from bytes that are no UTF-8 whatever cannot be read is dropped, valid text stays as it is."""
-    text = raw.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
+
+    def readable(text: Column) -> Column:
+        return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
+
+    return F.get(F.transform(F.array(raw.cast("string")), readable), F.lit(0))  # an array of one: the bytes are decoded once
 
 
 def malformed(payload: Column) -> Column:

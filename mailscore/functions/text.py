@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailscore import constants as c
-from mailscore.functions.html import parsed_text
+
+# A script, style or comment that is never closed reaches to the end of the text.
+_UNCLOSED_RE = r"(?is)(?:<script[^>]*>|<style[^>]*>|<!--).*\z"
 
 
 def portable(pattern: str) -> str:
@@ -19,38 +23,41 @@ def ws_trim(text: Column) -> Column:
     return F.btrim(text, F.lit(c.WS_CHARS))
 
 
-def _replace_entities(text: Column) -> Column:
-    for name, char in c.HTML_ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+def _reference_table() -> Column:
+    """Named references, the common ones first, and the numbers that browsers read as Windows-1252, to their characters."""
+    table = {name[1:]: char for name, char in c.HTML_ENTITIES}
+    table |= {name: char for name, char in html5.items() if name.endswith(";")} | table
+    table |= {f"#{i};": bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
+    pairs = F.lit("\x1e".join(f"{name}\x1f{char}" for name, char in table.items()))
+    return F.str_to_map(pairs, F.lit("\x1e"), F.lit("\x1f"))  # folded to a constant
 
 
-def decode_numeric_references(text: Column) -> Column:
-    """``&#233;`` and ``&#xE9;`` to their characters; anything else stays as it is."""
-    pieces = F.split(text, "&#", -1)
+def decode_references(text: Column) -> Column:
+    """``&eacute;``, ``&#233;`` and ``&#xE9;`` to their characters, once; anything else stays as it is."""
+    pieces = F.split(text, "&", -1)
+    table = _reference_table()
 
     def decode(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^([0-9]{1,7});", 1)
-        hexes = F.regexp_extract(piece, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
-        code = F.coalesce(
-            F.nullif(digits, F.lit("")).cast("int"),
-            F.conv(F.nullif(hexes, F.lit("")), 16, 10).cast("int"),
-        )
-        usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.to_binary(F.lpad(F.hex(code), 8, "0"), F.lit("hex")), "UTF-32")
-        rest = F.regexp_replace(piece, r"^[xX]?[0-9A-Fa-f]{1,7};", "")
-        return F.when(usable, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
+        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,40});", 1)
+        digits = F.nullif(F.regexp_extract(name, r"^#([0-9]+)$", 1), F.lit(""))
+        hexes = F.nullif(F.regexp_extract(name, r"^#[xX]([0-9A-Fa-f]+)$", 1), F.lit(""))
+        code = F.coalesce(digits.cast("int"), F.conv(hexes, 16, 10).cast("int"))
+        usable = (code.between(1, 0x7F) | code.between(0xA0, 0xD7FF) | code.between(0xE000, 0x10FFFF))
+        numbered = F.when(usable, F.decode(F.to_binary(F.lpad(F.hex(code), 8, "0"), F.lit("hex")), "UTF-32"))
+        named = F.try_element_at(table, F.concat(F.when(code.isNotNull(), F.concat(F.lit("#"), code)).otherwise(name), F.lit(";")))
+        char = F.when(name == "", None).when(usable, numbered).otherwise(named)
+        return F.coalesce(F.concat(char, F.substr(piece, F.length(name) + 2)), F.concat(F.lit("&"), piece))
 
     joined = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decode(p))), "")
-    return F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def strip_html(text: Column) -> Column:
     """Text of an HTML message, parts joined by a blank; text without ``<`` and ``>`` passes unchanged."""
     bare = text
-    for pattern in c.HTML_DROP_RES:
+    for pattern in [*c.HTML_DROP_RES[:3], _UNCLOSED_RE, *c.HTML_DROP_RES[3:]]:
         bare = F.regexp_replace(bare, pattern, " ")
-    bare = F.when(F.contains(bare, F.lit("&")), _replace_entities(decode_numeric_references(bare))).otherwise(bare)
+    bare = decode_references(bare)
     looks_html = F.contains(text, F.lit("<")) & F.contains(text, F.lit(">"))
     return F.when(text.isNull(), F.lit("")).when(looks_html, bare).otherwise(text)
 
@@ -61,9 +68,9 @@ def collapse_ws(text: Column) -> Column:
     return F.trim(F.regexp_replace(blanked, " {2,}", " "))
 
 
-def normalize_text(text: Column, parse: bool = False) -> Column:
-    """Bare text on one line; with ``parse`` HTML is read by a full parser, in Python."""
-    return collapse_ws(parsed_text(text) if parse else strip_html(text))
+def normalize_text(text: Column) -> Column:
+    """Bare text on one line."""
+    return collapse_ws(strip_html(text))
 
 
 def join_subject(subject: Column, body: Column) -> Column:
