@@ -12,34 +12,55 @@ from mailscore.session import ensure_checkpoint_dir
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 
+# Groups of up to this many rows are sorted in one task.
+LONG_GROUP = 1_000_000
+
 # Narrow tables of up to this many rows may go to every executor.
 BROADCAST_ROWS = 500_000
 
 
-def sliced_row_number(
-    df: DataFrame, keys: list[str], slice_column: Column, order: list[Column], slice_descending: bool, name: str
+def ranged_slices(df: DataFrame, keys: list[str], order: list[Column], rows: int) -> DataFrame:
+    """Adds _slice: stretches of groups in order, of about ``rows`` rows each, cut where a sample of the data says.
+
+    The rows are dealt by ranges of group and order, so a group of any size is
+    spread over as many tasks as it needs. They are written out, because a
+    second run would draw another sample.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = max(1, -(-2 * df.count() // rows))
+    dealt = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    return dealt.withColumn("_slice", F.spark_partition_id()).checkpoint()
+
+
+def whole_row_number(
+    df: DataFrame, keys: list[str], order: list[Column], name: str, rows: int = LONG_GROUP
 ) -> DataFrame:
-    """row_number per group without ever holding a whole group in one task.
+    """row_number per group, whatever the size of a group; ``order`` must leave no ties.
 
-    ``slice_column`` cuts the order into stretches (days, hash ranges): it must
-    never put a row into a later stretch than a row that follows it. Rows are
-    numbered within (group, stretch); the counts of earlier stretches, one small
-    row each, are summed up and added.
+    Groups are counted first. Those of more than ``rows`` rows are numbered
+    stretch by stretch (:func:`ranged_slices`); the counts of earlier stretches,
+    one small row each, are summed up and added. The others take one shuffle.
     """
-    sliced = df.withColumn("_slice", slice_column)
-    local = sliced.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order)))
-    by_slice = F.col("_slice").desc() if slice_descending else F.col("_slice").asc()
-    before = W.partitionBy(*keys).orderBy(by_slice).rowsBetween(W.unboundedPreceding, -1)
+    ensure_checkpoint_dir(df.sparkSession)
+    long = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(*keys).checkpoint()
+    short = F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    found = long.count()
+    if not found:
+        return df.withColumn(name, short)
+    renamed = long.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    known = F.broadcast(renamed) if found <= BROADCAST_ROWS else renamed
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    sliced = ranged_slices(df.join(known, same, "left_semi"), keys, order, rows)
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*keys, "_slice")
         .agg(F.count("*").alias("_n"))
         .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    return (
-        join_null_safe(local, offsets, [*keys, "_slice"])
-        .withColumn(name, F.col("_local") + F.col("_before"))
-        .drop("_slice", "_local", "_before")
-    )
+    local = sliced.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order)))
+    numbered = join_null_safe(local, offsets, [*keys, "_slice"])
+    numbered = numbered.withColumn(name, F.col("_local") + F.col("_before")).drop("_slice", "_local", "_before")
+    return df.join(known, same, "left_anti").withColumn(name, short).unionByName(numbered)
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,7 +91,6 @@ def group_pages(
     df: DataFrame,
     keys: list[str],
     order: list[Column],
-    slice_column: Column,
     limit: int,
     offset: int = 0,
     most: int | None = None,
@@ -78,12 +98,12 @@ def group_pages(
 ) -> DataFrame:
     """Rows offset + 1 to offset + limit of every group, newest first.
 
-    Deep pages are numbered stretch by stretch (``slice_column``), so that no task holds a whole group.
+    Beyond the limit above all rows are numbered, long groups stretch by stretch, so that no task holds a whole one.
     """
     if not 1 <= limit <= (most or limit) or offset < 0:
         raise ValueError(f"limit must be 1 to {most}, offset 0 or more")
     if offset + limit > GROUP_LIMIT:
-        ranked = sliced_row_number(df, keys, slice_column, order, True, name)
+        ranked = whole_row_number(df, keys, order, name)
         return ranked.where((F.col(name) > offset) & (F.col(name) <= offset + limit))
     return first_per_group(df, keys, order, offset + limit, name).where(F.col(name) > offset)
 

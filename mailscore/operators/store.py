@@ -107,8 +107,8 @@ def email_page(emails: DataFrame, user_id: int, limit: int = c.EMAIL_PAGE[0], of
 
 def email_pages(emails: DataFrame, limit: int = c.EMAIL_PAGE[0], offset: int = 0) -> DataFrame:
     """The same page for every user."""
-    order, day = newest_first("received_at", "email_id"), F.date_trunc("day", "received_at")
-    return ranking.group_pages(emails, ["user_id"], order, day, limit, offset, c.EMAIL_PAGE[1])
+    order = newest_first("received_at", "email_id")
+    return ranking.group_pages(emails, ["user_id"], order, limit, offset, c.EMAIL_PAGE[1])
 
 
 def user_predictions(predictions: DataFrame, emails: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -128,15 +128,13 @@ def prediction_pages(
     predictions: DataFrame, emails: DataFrame, limit: int = c.HISTORY_PAGE[0], offset: int = 0
 ) -> DataFrame:
     """The same page of predictions for every user."""
-    own, hour = user_predictions(predictions, emails), F.date_trunc("hour", "created_at")
-    return ranking.group_pages(own, ["user_id"], newest_first(), hour, limit, offset, c.HISTORY_PAGE[1])
+    own = user_predictions(predictions, emails)
+    return ranking.group_pages(own, ["user_id"], newest_first(), limit, offset, c.HISTORY_PAGE[1])
 
 
 def prediction_history(predictions: DataFrame) -> DataFrame:
-    """All predictions with their place in the email's history, newest = 1; long histories are numbered hour by hour."""
-    return ranking.sliced_row_number(
-        predictions, ["email_id"], F.date_trunc("hour", F.col("created_at")), newest_first(), True, "history_rank"
-    )
+    """All predictions with their place in the email's history, newest = 1; no task holds a long history whole."""
+    return ranking.whole_row_number(predictions, ["email_id"], newest_first(), "history_rank")
 
 
 def history_with_email(predictions: DataFrame, emails: DataFrame, columns: list[str]) -> DataFrame:
