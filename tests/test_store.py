@@ -151,6 +151,39 @@ def test_sweep_and_report(spark, rows):
     assert report["1"].support == sum(y for y, _ in rows)
 
 
+def test_ranks_of_a_group_longer_than_a_task_may_hold(spark):
+    """One email with most predictions, all in one hour, and others; nulls are a group."""
+    rows = spark.range(30_000).select(
+        F.col("id").alias("prediction_id"),
+        F.when(F.col("id") % 50 == 1, F.col("id") % 7).when(F.col("id") % 50 == 2, None).otherwise(99).alias("email_id"),
+        (F.lit(1_700_000_000) + F.xxhash64("id") % 1800).cast("timestamp").alias("created_at"),
+    ).repartition(5)
+    order = [F.col("created_at").desc(), F.col("prediction_id").desc()]
+    got = ranking.whole_row_number(rows, ["email_id"], order, "n", rows=2_000).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.email_id, []).append(r)
+    assert len(got) == 30_000 and len(groups) == 9
+    for group in groups.values():
+        want = sorted(group, key=lambda r: (r.created_at, r.prediction_id), reverse=True)
+        assert [r.n for r in want] == list(range(1, len(group) + 1))
+    slices = ranking.ranged_slices(rows, ["email_id"], order, 2_000).groupBy("_slice").count()
+    assert slices.agg(F.max("count")).first()[0] <= 2_000
+    assert ranking.whole_row_number(rows.limit(0), ["email_id"], order, "n").collect() == []
+
+
+def test_parents_are_looked_up_at_depths_of_the_list(spark):
+    names = ["b.com", "x.co.uk", "d.e.f.g", "B.com"]
+    domains = ["b.com", "a.b.com", "ab.com", "com", "x.co.uk", "y.x.co.uk", "co.uk", "q.d.e.f.g", "e.f.g", "", "b.com.", ".b.com", None]
+    counts = trust.domain_counts(spark.createDataFrame([(d,) for d in domains], "domain string"))
+    listed = spark.createDataFrame([(n,) for n in [*names, None]], "domain string")
+    got = {r.domain for r in trust.trusted_domains(counts, listed).collect()}
+    assert got == {d for d in domains if d is not None and any(d == n.lower() or d.endswith("." + n.lower()) for n in names)}
+    made = spark.sql("SELECT 'a.b.com' AS d").select(trust.dot_suffixes(F.col("d"), [2, 3, 4]).alias("s")).first().s
+    assert made == ["b.com", "a.b.com"]
+    assert trust.trusted_domains(counts, listed.limit(0)).count() == 0
+
+
 def test_useless_sweep_keeps_the_default(spark):
     df = spark.createDataFrame([(1, 0.0)], "label int, probability double")
     assert evaluation.best_threshold(evaluation.threshold_sweep(df)).first().threshold == 0.5
