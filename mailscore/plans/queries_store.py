@@ -16,6 +16,7 @@ from mailscore.plans.registry import R
 from mailscore.session import ensure_checkpoint_dir
 from mailscore.sources import fixtures as fx
 from mailscore.sources import memory, messages
+from mailscore.sources.message_store import MessageStore
 from mailscore.streaming import jobs
 
 EMAIL = ["email_id", "user_id", "message_id"]
@@ -466,3 +467,34 @@ def stream_dedupe(spark, sf):
     query = jobs.append_stream(jobs.deduplicate(stream, "3650 days"), f"{run}/out", f"{run}/state")
     query.awaitTermination()
     return spark.read.schema("user_id bigint, message_id string").parquet(f"{run}/out")
+
+
+@R.query(
+    "st2_stream_to_store",
+    """SELECT user_id, message_id, arg_min(email_id, email_id % 3 * 1000000000000 + email_id) AS email_id
+      FROM emails GROUP BY user_id, message_id""",
+)
+def stream_to_store(spark, sf):
+    """All emails arrive in three deliveries, each by a stream that starts anew; copies in a later one are recognised."""
+    run = f"{ensure_checkpoint_dir(spark)}/st2-{uuid.uuid4().hex}"
+    arriving = fx.emails(spark, sf).select("user_id", "message_id", "email_id")
+    into = MessageStore(spark, f"{run}/store", arriving.schema)
+    for delivery in range(3):
+        arriving.where(F.pmod("email_id", F.lit(3)) == delivery).write.mode("append").parquet(f"{run}/in")
+        stream = spark.readStream.schema(arriving.schema).parquet(f"{run}/in")
+        jobs.store_stream(stream, into, f"{run}/state").awaitTermination()
+    return into.rows()
+
+
+@R.query(
+    "src14_resolved_in_store",
+    """SELECT email_id, coalesce(min(email_id) FILTER (label IS NOT NULL) OVER w, min(email_id) OVER w) AS stored_email_id
+      FROM emails WINDOW w AS (PARTITION BY user_id, message_id)""",
+)
+def resolved_in_store(spark, sf):
+    """As src14_resolved_ids, the stored emails in buckets on disk."""
+    e = fx.emails(spark, sf)
+    arriving = e.select("user_id", "message_id", "email_id")
+    into = MessageStore(spark, f"{ensure_checkpoint_dir(spark)}/src14-{uuid.uuid4().hex}", arriving.schema)
+    into.insert(e.where(F.col("label").isNotNull()), "labelled")
+    return into.resolve(arriving).select("email_id", "stored_email_id")

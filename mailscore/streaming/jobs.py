@@ -10,6 +10,7 @@ from mailscore.plans.score import score_table
 from mailscore.plans.train import TrainedModel
 from mailscore.sources import readers
 from mailscore.sources.memory import DatasetMemory
+from mailscore.sources.message_store import MessageStore
 from mailscore.sources.sinks import prediction_records
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -44,10 +45,27 @@ def stream_intake(
 
 
 def deduplicate(messages: DataFrame, delay: str = "1 day", ts: str = "received_at") -> DataFrame:
-    """The first message of each (user, message id); keys older than the delay are forgotten."""
+    """The first message of each (user, message id); keys older than the delay are forgotten (not so :func:`store_stream`)."""
     return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["user_id", "message_id"])
 
 
+def store_stream(messages: DataFrame, into: MessageStore, checkpoint: str, name: str = "stream") -> StreamingQuery:
+    """The first message of each key, kept in a store, however long ago it came.
+
+    The store is the memory of the stream: nothing is forgotten and no state
+    grows in the executors. A batch that is run again after a failure replaces
+    its own rows. Streams that share a store need names of their own, and only
+    one may write at a time.
+    """
+
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        into.insert(batch, f"{name}-{batch_id}")
+
+    return (
+        messages.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def score_stream(emails: DataFrame, model: TrainedModel, path: str, checkpoint: str, text: str = "body") -> StreamingQuery:
     """Score emails as they arrive and append prediction records."""
     scored = score_table(emails, model, text)
