@@ -325,6 +325,29 @@ def range_checks(spark, sf):
     return quality.rule_counts(scoring.add_verdict(scoring.add_risks(given)))
 
 
+_GIVEN = """(SELECT e.value / 10 AS v FROM feat LEFT JOIN (SELECT event_id % n AS email_id,
+      max_by(value, struct_pack(ts := ts, event_id := event_id)) AS value FROM events, (SELECT count(*) AS n FROM documents)
+      GROUP BY 1) e USING (email_id))"""
+
+
+@R.query(
+    "flt9_checks_of_all_emails",
+    f"""SELECT 'has_attachment' AS rule, count(*) AS checked, 0::BIGINT AS violations FROM scored UNION ALL
+    SELECT 'urgent_keywords', count(*), 0 FROM scored UNION ALL SELECT 'links_count', count(*), 0 FROM scored UNION ALL
+    SELECT 'probability', count(v), count_if(v < 0 OR v > 1) FROM {_GIVEN} UNION ALL
+    SELECT 'ensemble_score', count(v), 0 FROM {_GIVEN} UNION ALL SELECT 'prediction', count(v), 0 FROM {_GIVEN}""",
+)
+def checks_of_all_emails(spark, sf):
+    """As flt9_range_checks, with the events dealt over all emails."""
+    n = fx.table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar()
+    latest = fx.table(spark, sf, "events").groupBy(F.pmod("event_id", n).alias("email_id")).agg(
+        F.max_by("value", F.struct("ts", "event_id")).alias("value")
+    )
+    features = scoring.extract_features(texts(spark, sf).select("email_id", "text")).drop("text")
+    given = features.join(latest, "email_id", "left").withColumn("probability", F.col("value") / 10)
+    return quality.rule_counts(scoring.add_verdict(scoring.add_risks(given)))
+
+
 @R.query(
     "flt8_blank_texts",
     f"SELECT conv_id, turn, text FROM conversations WHERE length({o.trim_ws('text')}) > 0",

@@ -338,6 +338,43 @@ def bulk_outcome(spark, sf):
     return scoring.outcome_counts(store.request_outcome(requests(spark, sf), fx.emails(spark, sf)))
 
 
+# Requests for any email of the store, and for some that it does not hold.
+ALL_REQUESTS = """(SELECT event_id AS request_id, event_id % (n + 1 + n // 20) AS email_id, user_id % 50 AS user_id
+    FROM events, (SELECT count(*) AS n FROM documents))"""
+ALL_OUTCOMES_SQL = OUTCOME_SQL.replace(REQUESTS, ALL_REQUESTS)
+
+
+def all_requests(spark, sf) -> DataFrame:
+    n = fx.table(spark, sf, "documents").agg(F.count("*").alias("n")).scalar()
+    return fx.table(spark, sf, "events").select(
+        F.col("event_id").alias("request_id"),
+        F.pmod("event_id", n + 1 + F.floor(n / 20)).alias("email_id"),
+        F.pmod("user_id", F.lit(50)).alias("user_id"),
+    )
+
+
+@R.query("jn8_outcome_of_any_email", ALL_OUTCOMES_SQL)
+def outcome_of_any_email(spark, sf):
+    return store.request_outcome(all_requests(spark, sf), fx.emails(spark, sf)).select("request_id", "email_id", "user_id", "outcome")
+
+
+@R.query(
+    "jn8_owned_of_any_email",
+    f"SELECT r.* FROM {ALL_REQUESTS} r JOIN emails e ON r.email_id = e.email_id AND r.user_id = e.user_id",
+)
+def owned_of_any_email(spark, sf):
+    return store.split_owned(all_requests(spark, sf), fx.emails(spark, sf))[0].select("request_id", "email_id", "user_id")
+
+
+@R.query(
+    "ag18_outcome_over_all_emails",
+    f"""SELECT count(*) AS completed, count_if(outcome = 'ok')::BIGINT AS successful, count_if(outcome <> 'ok')::BIGINT AS failed
+    FROM ({ALL_OUTCOMES_SQL})""",
+)
+def outcome_over_all_emails(spark, sf):
+    return scoring.outcome_counts(store.request_outcome(all_requests(spark, sf), fx.emails(spark, sf)))
+
+
 @R.query("ag11_emails_per_user", "SELECT user_id, count(*) AS n_emails FROM emails GROUP BY user_id")
 def emails_per_user(spark, sf):
     return store.emails_per_user(fx.emails(spark, sf))
