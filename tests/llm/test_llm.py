@@ -138,6 +138,41 @@ def test_licenses_in_one_file(spark):
     assert {"mit", "bsd", "apache-2", "gpl-3"} <= set(got[2].split(","))
 
 
+def test_license_labels_by_brute_force(spark):
+    """Labels and scores equal those of every template tried at every place, with no index."""
+    import re
+
+    draw = random.Random(8)
+    texts = []
+    for _ in range(400):
+        out = []
+        for _ in range(draw.randint(0, 3)):
+            words = draw.choice(licenses.TEMPLATES)[1].split()
+            a = draw.choice([0, 0, draw.randint(0, len(words))])
+            words = words[a:] if draw.random() < 0.3 else words
+            out += [w if draw.random() > draw.choice([0, 0.1, 0.3]) else draw.choice(["river", "the", "license", "\u212a", "2"]) for w in words]
+            out += draw.choices(WORDS, k=draw.randint(0, 20))
+        texts.append(draw.choice([" ", ". ", "-"]).join(w.upper() if draw.random() < 0.2 else w for w in out))
+    texts += ["software wor\u212a", None, "", texts[0], " license" * 3000]
+    found = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    docs = table(spark, enumerate(texts))
+    counts = {w: sum(w in f for f in found) for w in licenses.vocabulary()}
+    assert licenses.document_frequencies(docs) == (len(texts), {w: n for w, n in counts.items() if n})
+    templates, want = licenses.index(len(texts), counts), []
+    for i, f in enumerate(found):
+        normal = " " + " ".join(f) + " "
+        labels, score = {label for phrase, label in licenses.BASE if f" {phrase} " in normal}, 0.0
+        base = bool(labels)
+        for (label, _, phrases), t in zip(licenses.TEMPLATES, templates, strict=True):
+            best = max(sum(x for w, q, x in t.posted if 0 <= at + q < len(f) and f[at + q] == w) for at in range(-100, len(f) + 1))
+            if best >= licenses.SHARE * t.weight and all(f" {p} " in normal for p in phrases):
+                labels.add(label)
+                score = max(score, best / t.weight)
+        want.append((i, len(f), ",".join(sorted(labels)), 1.0 if base else score))
+    assert sum(x[2] != "" for x in want) > 100
+    assert rows(licenses.scan(docs), "doc_id", "n_words", "labels", "score") == sorted(want, key=repr)
+
+
 PRIVATE = "Mail Anna.S7@Mail.example.org, anna.s7@mail.example.org; +1 (614) 555-8001 or +1 614-555-8001; 4111-1111-1111-1111, not 4111111111111112; 10.1.2.3; Mrs. Jane Doe, Господин Иван Петров"
 
 
