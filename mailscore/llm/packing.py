@@ -24,13 +24,19 @@ from mailscore.session import ensure_checkpoint_dir
 
 CAP = 1024
 END_ID = 2
-CACHED = 700_000
+CACHED = 700_000  # words kept in a worker, and parts kept besides
 # a space starts a new piece of the byte-level pattern wherever no white space follows it
 JOINT = re.compile(rb" (?![\x09-\x0D\x20]|\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)")
+# letters (of ASCII, and some blocks that hold nothing else) before an ASCII character that is no letter, which starts a new piece
+WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xd0\xd1][\x80-\xbf])+(?=[\x00-\x40\x5b-\x60\x7b-\x7f])")
 
 
 class Encoder(dict):
-    """Ids, as little-endian 32-bit bytes, of what stands between two joints; filled from the library in batches."""
+    """Ids, as little-endian 32-bit bytes, of what stands between two joints; filled from the library in batches.
+
+    Parts are put together from words and what follows these (``.``, ``.\\nThen``), so that a word is encoded once in
+    whatever surroundings it stands.
+    """
 
     def __init__(self, path: str, cached: int = CACHED):
         super().__init__()
@@ -40,21 +46,39 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.cached = cached
+        self.words: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+        self.lead = len(self.ids([" a"])[0])
         vocab = self.library.get_vocab()
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of a token: its name has a letter for each
         for token, i in vocab.items():
             self.width[i] = len(token)
 
-    def learn(self, parts: list[bytes]) -> None:
+    def coded(self, parts: list[bytes]) -> list[bytes]:
         """Encodes many parts as one text; no token reaches over a joint, so their ids are cut apart by width."""
+        out: list[bytes] = []
         for first in range(0, len(parts), 2000):
             some = parts[first : first + 2000]
             text = b" " + b" ".join(some)
-            coded = np.frombuffer(self.ids([text.decode("utf-8", "replace")])[0], "<u4")
+            found = np.frombuffer(self.ids([text.decode("utf-8", "replace")])[0], "<u4")
             ends = np.cumsum([len(p) + 1 for p in some])
-            cuts = np.searchsorted(np.cumsum(self.width[coded]), ends) + 1
-            raw, cuts = coded.tobytes(), [0, *(4 * cuts).tolist()]
-            self.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+            cuts = np.searchsorted(np.cumsum(self.width[found]), ends) + 1
+            raw, cuts = found.tobytes(), [0, *(4 * cuts).tolist()]
+            out += map(raw.__getitem__, map(slice, cuts, cuts[1:]))
+        return out
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Takes up parts; a tail is encoded behind the word ``a``, whose ids are dropped."""
+        ends = [m.end() if m else len(p) for p, m in zip(parts, map(WORD.match, parts), strict=True)]
+        heads = [p[:e] for p, e in zip(parts, ends, strict=True)]
+        tails = [p[e:] for p, e in zip(parts, ends, strict=True)]
+        if len(self.words) + len(self.tails) > self.cached:
+            self.words, self.tails = {}, {}
+        new = list(set(heads).difference(self.words))
+        self.words.update(zip(new, self.coded(new), strict=True))
+        new = list(set(tails).difference(self.tails))
+        self.tails.update(zip(new, [x[self.lead :] for x in self.coded([b"a" + t for t in new])], strict=True))
+        self.update(zip(parts, [self.words[h] + self.tails[t] if t else self.words[h] for h, t in zip(heads, tails, strict=True)], strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         coded = self.library.encode_batch_fast(texts, add_special_tokens=False)

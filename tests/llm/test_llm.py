@@ -173,6 +173,19 @@ def test_license_labels_by_brute_force(spark):
     assert rows(licenses.scan(docs), "doc_id", "n_words", "labels", "score") == sorted(want, key=repr)
 
 
+def test_encoder_equals_library():
+    """Ids put together from joints, words and tails are those of the library, also when the store is emptied in between."""
+    path = public.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    tool = packing.Encoder(path, cached=300)
+    draw = random.Random(11)
+    atoms = ["river", "Él", "straße", "слово", "×", "÷3", "é", "'s", "'ll", "'", ".", ",", "...", "!?", "\n", "\r\n", "\t", " ", "  ", "\xa0", "\u2003", "7", "2024", "a", "A", "東京", "ー", "e\u0301", "—", "_", "{", "~", "\x7f", "\x00", "[x]", "don't", "ʼn", "😀"]
+    for _ in range(40):
+        texts = ["".join(draw.choices(atoms, k=draw.randint(0, 60))) + draw.choice(["", " ", "\n", "<|endoftext|>"]) for _ in range(50)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert tool.encode([t.encode() for t in texts]) == want
+
+
 PRIVATE = "Mail Anna.S7@Mail.example.org, anna.s7@mail.example.org; +1 (614) 555-8001 or +1 614-555-8001; 4111-1111-1111-1111, not 4111111111111112; 10.1.2.3; Mrs. Jane Doe, Господин Иван Петров"
 
 
