@@ -13,9 +13,11 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +26,16 @@ from mailscore.session import ensure_checkpoint_dir
 
 CAP = 1024
 END_ID = 2
-CACHED = 700_000  # words kept in a worker, and parts kept besides
+CACHED = 700_000  # words kept in a worker, and half as many parts
 # a space starts a new piece of the byte-level pattern wherever no white space follows it
 JOINT = re.compile(rb" (?![\x09-\x0D\x20]|\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)")
+UNJOINED = r" ([\x09-\x0D\x20]|\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\z)"  # a space that is no joint
 # letters (of ASCII, and some blocks that hold nothing else) before an ASCII character that is no letter, which starts a new piece
 WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xd0\xd1][\x80-\xbf])+(?=[\x00-\x40\x5b-\x60\x7b-\x7f])")
 
 
 class Encoder(dict):
-    """Ids, as little-endian 32-bit bytes, of what stands between two joints; filled from the library in batches.
+    """Ids, as little-endian 32-bit bytes, of what stands between two joints and is no plain word; filled from the library in batches.
 
     Parts are put together from words and what follows these (``.``, ``.\\nThen``), so that a word is encoded once in
     whatever surroundings it stands.
@@ -67,34 +70,86 @@ class Encoder(dict):
             out += map(raw.__getitem__, map(slice, cuts, cuts[1:]))
         return out
 
-    def learn(self, parts: list[bytes]) -> None:
-        """Takes up parts; a tail is encoded behind the word ``a``, whose ids are dropped."""
-        ends = [m.end() if m else len(p) for p, m in zip(parts, map(WORD.match, parts), strict=True)]
-        heads = [p[:e] for p, e in zip(parts, ends, strict=True)]
-        tails = [p[e:] for p, e in zip(parts, ends, strict=True)]
-        if len(self.words) + len(self.tails) > self.cached:
-            self.words, self.tails = {}, {}
-        new = list(set(heads).difference(self.words))
-        self.words.update(zip(new, self.coded(new), strict=True))
-        new = list(set(tails).difference(self.tails))
-        self.tails.update(zip(new, [x[self.lead :] for x in self.coded([b"a" + t for t in new])], strict=True))
-        self.update(zip(parts, [self.words[h] + self.tails[t] if t else self.words[h] for h, t in zip(heads, tails, strict=True)], strict=True))
+    def learned(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts. A tail is encoded behind the word ``a``, whose ids are dropped."""
+        word = [p.isalpha() for p in parts]
+        made = [p for p, w in zip(parts, word, strict=True) if not w and p not in self]
+        if len(self) + len(made) > self.cached // 2:
+            self.clear()
+            made = [p for p, w in zip(parts, word, strict=True) if not w]
+        ends = [m.end() if m else len(p) for p, m in zip(made, map(WORD.match, made), strict=True)]
+        heads = [p[:e] for p, e in zip(made, ends, strict=True)]
+        tails = [p[e:] for p, e in zip(made, ends, strict=True)]
+        needed = {*compress(parts, word), *heads}
+        new = needed.difference(self.words)
+        if len(self.words) + len(self.tails) + len(new) > self.cached:
+            self.words, self.tails, new = {}, {}, needed
+        self.words.update(zip(new, self.coded(list(new)), strict=True))
+        after = list(set(tails).difference(self.tails))
+        self.tails.update(zip(after, [x[self.lead :] for x in self.coded([b"a" + t for t in after])], strict=True))
+        self.update(zip(made, [self.words[h] + self.tails[t] if t else self.words[h] for h, t in zip(heads, tails, strict=True)], strict=True))
+        words = self.words
+        return [words[p] if w else self[p] for p, w in zip(parts, word, strict=True)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         coded = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in coded]
 
+    def flat(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and where each text begins and ends in it; equal to those of the library.
+
+        Texts in which every space is a joint are split and their parts told apart by Arrow; Python sees distinct parts.
+        """
+        column = pa.array(texts, pa.large_binary())
+        special = pc.match_substring(column, self.special[0]) if self.special else pa.array([False] * len(texts))
+        for s in self.special[1:]:
+            special = pc.or_(special, pc.match_substring(column, s))
+        special = special.to_numpy(zero_copy_only=False)
+        plain = ~special & ~pc.match_substring_regex(column, UNJOINED).to_numpy(zero_copy_only=False)
+        begin, end, out, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [], 0
+        for some in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+            if not len(some):
+                continue
+            if plain[some[0]]:
+                split = pc.split_pattern(column.take(pa.array(some)), pattern=b" ")
+            else:
+                split = pa.array([[texts[k]] if special[k] else JOINT.split(texts[k]) for k in some], pa.list_(pa.large_binary()))
+            ids, ends = self._joined(split)
+            begin[some], end[some] = size + np.concatenate([[0], ends[:-1]]), size + ends
+            out.append(ids)
+            size += len(ids)
+        return np.concatenate(out) if out else np.zeros(0, "<u4"), begin, end
+
+    def _joined(self, split: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lists of parts, one after another, and where those of each list end. No list is empty."""
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = split.flatten().dictionary_encode()
+        unit = coded.indices.to_numpy().astype(np.int64)
+        heads = coded.dictionary.take(pa.array(unit[offsets[:-1]])).to_pylist()  # no space stands before them
+        unit[offsets[:-1]] = -1
+        used = np.zeros(len(coded.dictionary), bool)
+        used[unit[unit >= 0]] = True
+        number = np.cumsum(used) - 1
+        unit = np.where(unit >= 0, number[unit], 0)
+        unit[offsets[:-1]] = used.sum() + np.arange(len(heads))
+        distinct = coded.dictionary.filter(pa.array(used))
+        _, cuts, raw = distinct.buffers()
+        cuts = np.frombuffer(cuts, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1].tolist() if len(distinct) else [0]
+        parts = list(map((raw.to_pybytes() if raw else b"").__getitem__, map(slice, cuts, cuts[1:])))
+        held = [*self.learned(parts), *self.ids([h.decode("utf-8", "replace") for h in heads])]
+        length = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        ids = np.frombuffer(b"".join(held), "<u4")
+        start, taken = np.cumsum(length) - length, length[unit]
+        ends = np.cumsum(taken)
+        at = np.repeat(start[unit] - (ends - taken), taken)
+        at += np.arange(len(at))
+        return ids[at], ends[offsets[1:] - 1]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of whole texts, equal to those of the library."""
-        parts = [None if any(s in t for s in self.special) else JOINT.split(t) for t in texts]
-        new = {p for x in parts if x for p in x[1:]}.difference(self)
-        if len(self) + len(new) > self.cached:
-            self.clear()
-            new = {p for x in parts if x for p in x[1:]}
-        self.learn(list(new))
-        heads = self.ids([(x[0] if x else t).decode("utf-8", "replace") for x, t in zip(parts, texts, strict=True)])
-        get = self.__getitem__
-        return [head + b"".join(map(get, x[1:])) if x else head for head, x in zip(heads, parts, strict=True)]
+        """Ids of whole texts, one by one."""
+        ids, begin, end = self.flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -122,8 +177,9 @@ def pieces(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END_ID, ids
         tool = encoder(path)
         for batch in gathered(batches):
             out: list[list] = [[], [], [], [], [], []]
-            for doc, coded in zip(batch.column(0).to_pylist(), tool.encode(byte_texts(batch)), strict=True):
-                whole = coded + end
+            coded, *ends = tool.flat(byte_texts(batch))
+            for doc, first_id, last_id in zip(batch.column(0).to_pylist(), *ends, strict=True):
+                whole = coded[first_id:last_id].tobytes() + end
                 first = len(whole) % step or step
                 cuts = [0, *range(first, len(whole) + 1, step)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
