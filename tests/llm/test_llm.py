@@ -87,6 +87,68 @@ def test_lm(spark, docs, texts, empty):
     assert np.allclose(weights.sum(axis=1), 1) and weights[1][0] > 0.3
 
 
+def interpolated(texts, train, fold, asked):
+    """Scores of word lists by plain deleted interpolation of exact counts; the weights come from ratios in steps of 1 / STEP of a doubling."""
+
+    def counts(some):
+        one, two = Counter(), Counter()
+        for words in some:
+            one.update([*words, None])
+            two.update(zip(["<s>", *words], [*words, None], strict=True))
+        return one, two, len(some)
+
+    def parts(c, v, w):
+        one, two, starts = c
+        context = starts if v == "<s>" else one[v]
+        return context, (two[v, w] / context if context else 0.0), one[w] / sum(one.values()), 1 / (len(one) + 1)
+
+    def step(ratio):
+        return 2 ** (round(scoring_lm.STEP * math.log2(ratio)) / scoring_lm.STEP) if ratio else 0.0
+
+    kept, whole = counts([texts[i] for i in train if i not in fold]), counts([texts[i] for i in train])
+    cells = Counter()
+    for i in fold:
+        for v, w in zip(["<s>", *texts[i]], [*texts[i], None], strict=True):
+            context, p2, p1, p0 = parts(kept, v, w)
+            cells[context.bit_length(), step(p2 / p0), step(p1 / p0)] += 1
+
+    def fit(some):
+        weights = [1 / 3] * 3
+        for _ in range(100):
+            total = [0.0] * 3
+            for (_, r2, r1), n in some.items():
+                share = [weights[0] * r2, weights[1] * r1, weights[2]]
+                for j in range(3):
+                    total[j] += n * share[j] / sum(share)
+            weights = [t / sum(total) for t in total]
+        weights = [max(x, 1e-9) for x in weights]
+        return [x / sum(weights) for x in weights]
+
+    everything = fit(cells)
+    of = {k: fit({c: n for c, n in cells.items() if c[0] == k}) for k in {c[0] for c in cells}}
+
+    def probability(v, w):
+        context, *p = parts(whole, v, w)
+        return sum(x * y for x, y in zip(of.get(context.bit_length(), everything), p, strict=True))
+
+    for v in ["<s>", *(w for w in whole[0] if w)]:  # a distribution: all known words, the end and one unknown word
+        assert abs(sum(probability(v, w) for w in [*whole[0], "unknown"]) - 1) < 1e-9
+    return [sum(math.log10(probability(v, w)) for v, w in zip(["<s>", *text], [*text, None], strict=True)) for text in asked]
+
+
+def test_lm_scores_by_plain_interpolation(spark):
+    """Scores equal those of plain counts in dictionaries."""
+    importable(spark)
+    draw = random.Random(3)
+    words = "a b c d e f g h".split()
+    texts = [draw.choices(words, weights=range(1, 9), k=draw.randint(0, 30)) for _ in range(120)]
+    train, fold = [i for i in range(120) if i % 4], {i for i in range(120) if i % 4 and i % 5 == 0}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in scoring_lm.score(docs, F.col("doc_id") % 4 != 0, F.col("doc_id") % 5 == 0, size=500).collect()}
+    want = interpolated(texts, train, fold, texts)
+    assert all(abs(got[i] - want[i]) <= 1e-6 for i in range(120))
+
+
 def test_lm_is_a_distribution(spark):
     """Probabilities of all continuations of a context, known words and one unknown, add up to 1."""
     importable(spark)
