@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -290,3 +291,17 @@ def test_other_line_ends_are_another_file(spark, tmp_path):
         (tmp_path / name).write_bytes(end.join(["body,label", "x,1", ""]).encode())
     found = {r.path.rsplit("/")[-1]: r.fingerprint for r in memory.file_fingerprints(spark, str(tmp_path)).collect()}
     assert found["a.csv"] == found["c.csv"] != found["b.csv"]
+
+
+def test_raw_messages_lie_in_few_folders(spark, tmp_path):
+    rows = [(i, f"From: a@b.c\n\nmail {i} ü") for i in range(900)] + [(5, "copy"), (1000, None), (1001, "")]
+    path = str(tmp_path / "raw mail")
+    sinks.write_raw_messages(spark.createDataFrame(rows, "doc_id long, text string"), path, "doc_id", "text")
+    assert len([p for p in os.listdir(path) if not p.startswith((".", "_"))]) <= sinks.RAW_FOLDERS  # not one for each message
+    mails = readers.read_raw_emails(spark, f"{path}/*")
+    got = {int(r.path.rpartition("doc_id=")[2]): r.text for r in mails.collect()}
+    want = {i: f"{t or ''}\n" for i, t in rows if i != 5}
+    assert sorted(got.pop(5).split("\n")) == sorted(f"{rows[5][1]}\ncopy\n".split("\n"))
+    assert {i: got[i] for i in want if i != 5} == want and len(got) == len(want)
+    sinks.write_raw_messages(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"), "doc_id", "text")
+    assert readers.read_raw_emails(spark, f"{tmp_path}/none/*").count() == 0
