@@ -42,13 +42,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4000, size: int = BYTES) -> Iterator[pa.RecordBatch]:
-    """Small batches put together, up to so many rows or bytes, for work that gains from many rows at once."""
+    """Batches put together, or cut, to about so many rows or bytes, for work that gains from many rows at once."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
-            yield pa.concat_batches(held)
-            held = []
+        for part in slices([batch], max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))):
+            held.append(part)
+            if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= size:
+                whole, held = pa.concat_batches(held), []
+                yield whole
     if held:
         yield pa.concat_batches(held)
 

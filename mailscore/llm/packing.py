@@ -27,6 +27,7 @@ from mailscore.session import ensure_checkpoint_dir
 CAP = 1024
 END_ID = 2
 CACHED = 700_000  # words kept in a worker, and half as many parts
+AT_ONCE = 2 << 20  # bytes of texts that are encoded together; the work on them takes some 20 times as much memory
 # a space starts a new piece of the byte-level pattern wherever no white space follows it
 JOINT = re.compile(rb" (?![\x09-\x0D\x20]|\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\Z)")
 UNJOINED = r" ([\x09-\x0D\x20]|\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\z)"  # a space that is no joint
@@ -175,7 +176,7 @@ def pieces(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END_ID, ids
 
     def run(batches):
         tool = encoder(path)
-        for batch in gathered(batches):
+        for batch in gathered(batches, size=AT_ONCE):
             out: list[list] = [[], [], [], [], [], []]
             coded, *ends = tool.flat(byte_texts(batch))
             for doc, first_id, last_id in zip(batch.column(0).to_pylist(), *ends, strict=True):

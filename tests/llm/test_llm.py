@@ -7,12 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mailscore.llm import (
-    components, decontaminate, embeddings, language_id, licenses, minhash, packing, queries, scoring_lm, substring_dedup, surrogates, token_counts,
+    blocks, components, decontaminate, embeddings, language_id, licenses, minhash, packing, queries, scoring_lm, substring_dedup, surrogates, token_counts,
 )
 from mailscore.llm.blocks import crc_mod, importable
 
@@ -324,6 +325,31 @@ def test_language(spark, sf, docs, empty):
     assert language_id.predict(docs, language_id.fit(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_packing_encodes_a_bounded_number_of_bytes_at_once(monkeypatch):
+    batch = pa.record_batch({"doc_id": pa.array(range(200)), "text": pa.array([f"{i} " + "word " * 8000 for i in range(200)])})
+    assert batch.nbytes > 7 << 20  # as Spark may send it
+    parts = list(blocks.gathered(iter([batch, batch]), size=1 << 20))
+    assert max(p.nbytes for p in parts) < 2 << 20 and pa.concat_batches(parts).equals(pa.concat_batches([batch, batch]))
+    seen, tool = [], packing.encoder(public.path("byte_bpe_50k.json"))
+
+    class Watched:
+        def flat(self, texts):
+            seen.append(sum(map(len, texts)))
+            return tool.flat(texts)
+
+    class Table:
+        def selectExpr(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(packing, "encoder", lambda _: Watched())
+    out = pa.Table.from_batches(packing.pieces(Table(), "")(iter([batch])))
+    assert out["doc_id"].unique().to_pylist() == list(range(200)) and sum(seen) > 7 << 20
+    assert max(seen) < 4 << 20
+
+
 def test_packing(docs, texts, empty):
     path = public.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
