@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -26,6 +27,9 @@ from mailscore.session import ensure_checkpoint_dir
 
 HASH_SLICE_BITS = 14
 
+# Training rows of a task: four bytes a column, as MLlib holds them, up to so many bytes; over FEW_TASKS tasks, so many rows at least.
+TASK_BYTES, FEW_TASKS, LEAST_ROWS = 300_000_000, 16, 1000
+
 
 @dataclass
 class Settings:
@@ -127,11 +131,23 @@ def fit_features(train: DataFrame, settings: Settings) -> tuple[PipelineModel, D
     return PipelineModel(fitted), rows.select("label", "features")
 
 
+def dealt_for_trees(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` training rows dealt evenly to a task for each core, or to more where these would be too large.
+
+    At every level of every tree each task sums up all bins of all columns for each node, and these sums are sent and
+    added up. That costs as much as some 2,400 rows however few a task has, so tasks beyond the cores only cost time.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    columns = rows.schema["features"].metadata["ml_attr"]["num_attrs"]
+    tasks = max(1, min(cores, max(FEW_TASKS, n // LEAST_ROWS)))
+    return rows.repartition(tasks * max(1, math.ceil(n * columns * 4 / (tasks * TASK_BYTES))))
+
+
 def fit_model(train: DataFrame, settings: Settings) -> PipelineModel:
     """Feature stages and boosted trees fitted on the training rows."""
     features, rows = fit_features(train, settings)
     ensure_checkpoint_dir(train.sparkSession)
-    rows = rows.checkpoint()  # the trees read the rows once per level
+    rows = dealt_for_trees(rows, train.count()).checkpoint()  # the trees read the rows once per level
     trees = GBTClassifier(
         labelCol="label",
         featuresCol="features",

@@ -357,6 +357,47 @@ def test_every_domain_has_its_column(spark, domains):
     assert out.first().features.size == 7 + 5 + domains  # 4 words, 3 pairs
 
 
+def test_trees_read_rows_dealt_evenly(spark, monkeypatch):
+    """Every task sums up all bins, so the trees get a task for each core, of equal size, however the rows lie."""
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    class Trees:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, rows):
+            seen.append((rows.rdd.glom().map(len).collect(), Counter((r.label, tuple(r.features.toArray())) for r in rows.collect())))
+            raise Stop
+
+    columns = ("cast(id % 2 as int) AS label", "concat('word', id % 3, ' text') AS text", "0 AS has_attachment", "id AS links_count",
+               "0 AS urgent_keywords", "5 AS body_length", "0 AS exclamation_count", "concat('d', id % 4, '.com') AS sender_domain")
+    ends = spark.range(0, 400, 1, 1).selectExpr(*columns).unionByName(spark.range(400, 440, 1, 20).selectExpr(*columns))  # 21 partitions, one of them large
+    monkeypatch.setattr(tr, "GBTClassifier", Trees)
+    cores = spark.sparkContext.defaultParallelism
+    wanted = Counter((r.label, tuple(r.features.toArray())) for r in tr.fit_features(ends, tr.Settings(vocabulary=10))[1].collect())
+    for settled, tasks in ((tr.TASK_BYTES, cores), (16 * 4 * 30, 2 * cores)):  # 16 columns; 30 rows a task at most
+        monkeypatch.setattr(tr, "TASK_BYTES", settled)
+        with pytest.raises(Stop):
+            tr.fit_model(ends, tr.Settings(vocabulary=10))
+        sizes, rows = seen.pop()
+        assert len(sizes) == tasks and rows == wanted
+        assert max(sizes) <= 2 * 440 / tasks
+
+
+def test_few_rows_do_not_go_to_many_tasks(spark, monkeypatch):
+    """On many cores a task has LEAST_ROWS rows or more, once there are FEW_TASKS."""
+    rows = tr.fit_features(
+        spark.createDataFrame([(i % 2, "some text", 0, i, 0, 5, 0, "a.com") for i in range(40)],
+                              "label int, text string, " + ", ".join(f"{n} int" for n in c.FEATURE_NUMERIC) + ", sender_domain string"),
+        tr.Settings(vocabulary=10))[1]
+    monkeypatch.setattr(tr, "FEW_TASKS", 2)
+    monkeypatch.setattr(tr, "LEAST_ROWS", 10)
+    assert [tr.dealt_for_trees(rows, n).rdd.getNumPartitions() for n in (0, 10, 40, 4000)] == [2, 2, 4, spark.sparkContext.defaultParallelism]
+
+
 def test_quarantined_training_rows(spark):
     df = spark.createDataFrame([("t", "spam"), ("u", "2"), (None, "ham")], "text string, label string")
     assert tr.training_rows(df, "text", strict=False).count() == 1
