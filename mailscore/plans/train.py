@@ -23,6 +23,7 @@ from mailscore.functions import labels
 from mailscore.functions import text as tx
 from mailscore.operators import analytics, evaluation, quality, ranking, schema
 from mailscore.operators import terms as tm
+from mailscore.plans import boosting
 from mailscore.session import ensure_checkpoint_dir
 
 HASH_SLICE_BITS = 14
@@ -148,7 +149,7 @@ def fit_model(train: DataFrame, settings: Settings) -> PipelineModel:
     features, rows = fit_features(train, settings)
     ensure_checkpoint_dir(train.sparkSession)
     rows = dealt_for_trees(rows, train.count()).checkpoint()  # the trees read the rows once per level
-    trees = GBTClassifier(
+    estimator = GBTClassifier(
         labelCol="label",
         featuresCol="features",
         maxIter=settings.rounds,
@@ -158,8 +159,8 @@ def fit_model(train: DataFrame, settings: Settings) -> PipelineModel:
         featureSubsetStrategy=str(settings.column_share),
         seed=settings.seed,
         maxMemoryInMB=1024,
-    ).fit(rows)
-    return PipelineModel([*features.stages, trees])
+    )
+    return PipelineModel([*features.stages, boosting.fit(estimator, rows)])
 
 
 def with_probability(rows: DataFrame, model: PipelineModel, stop_words: list[str] | None = None) -> DataFrame:

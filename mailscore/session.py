@@ -50,3 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import the package from where the driver has it; on a cluster it is installed or sent along."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
