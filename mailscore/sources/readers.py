@@ -9,8 +9,10 @@ from __future__ import annotations
 import csv
 import io
 import os
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from mailscore.sources import records
 SNIFF_LINES = 20
 BAD_ROW = "_bad_row"
 
+FILES_AT_ONCE, BYTES_AT_ONCE = 500, 8 << 20  # raw messages that a task holds
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -178,6 +182,65 @@ def read_quoted(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw_emails(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, text of raw message files; bytes that are no UTF-8 are dropped."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    """path, text of raw message files; bytes that are no UTF-8 are dropped.
+
+    Spark's reader of whole files keeps the names of all of them in the driver. On a disk that machines share, where
+    messages are files by the million (``sinks.write_raw_messages``), tasks list the folders and read the files; the
+    driver knows what ``folder`` itself names. Other stores are listed by Spark.
+    """
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(hadoop)
+    found = [x.getPath() for x in store.globStatus(place) or []] if store.getScheme() == "file" else []
+    if not found:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    else:
+        files = _files(spark, [(x.toString(), x.toUri().getPath()) for x in found], jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern())
     return files.select("path", valid_text(F.col("content")).alias("text"))
+
+
+def _files(spark: SparkSession, places: list[tuple[str, str]], names: str) -> DataFrame:
+    """path, content of the files among these places, or in these folders (and their partitions), whose name matches."""
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows, size = FILES_AT_ONCE, BYTES_AT_ONCE
+
+    def below(path: str, local: str):
+        for entry in os.scandir(local):
+            if entry.is_dir():
+                if "=" in entry.name and not entry.name.startswith("."):
+                    yield from below(f"{path}/{entry.name}", entry.path)
+            else:
+                yield f"{path}/{entry.name}", entry.path
+
+    def listed(batches):
+        wanted = re.compile(names)
+        for batch in batches:
+            for path, local in zip(*(batch.column(x).to_pylist() for x in ("path", "local"))):
+                held = []
+                for file in below(path, local) if os.path.isdir(local) else [(path, local)]:
+                    name = file[0].rpartition("/")[2]
+                    hidden = name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+                    if not hidden and wanted.fullmatch(name):
+                        held.append(file)
+                    if len(held) == rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held)], ["path", "local"])
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*held)], ["path", "local"])
+
+    def read(batches):
+        paths, contents, held = [], [], 0
+        for batch in batches:
+            for path, local in zip(*(batch.column(x).to_pylist() for x in ("path", "local"))):
+                with open(local, "rb") as file:
+                    contents.append(file.read())
+                paths.append(path)
+                held += len(contents[-1])
+                if len(paths) == rows or held > size:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+                    paths, contents, held = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    folders = spark.createDataFrame(places, "path string, local string").repartition(min(len(places), tasks))
+    return folders.mapInArrow(listed, "path string, local string").repartition(tasks).mapInArrow(read, "path string, content binary")

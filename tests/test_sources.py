@@ -305,3 +305,22 @@ def test_raw_messages_lie_in_few_folders(spark, tmp_path):
     assert {i: got[i] for i in want if i != 5} == want and len(got) == len(want)
     sinks.write_raw_messages(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"), "doc_id", "text")
     assert readers.read_raw_emails(spark, f"{tmp_path}/none/*").count() == 0
+
+
+def test_raw_messages_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Before: the driver held the names of all messages."""
+    folder = tmp_path / "raw mail"
+    files = {"1/doc_id=1": b"one", "1/doc_id=2": b"caf\xc3\xa9 \xff", "2/a%2Fb": b"", "2/_hidden": b"x", "2/.crc": b"x", "2/_k=1": b"y", "2/deep/no": b"x", "2/k=3/in": b"z", "top": b"t", "_SUCCESS": b""}
+    for name, content in files.items():
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(content)
+    monkeypatch.setattr(readers, "FILES_AT_ONCE", 2)
+    mails = readers.read_raw_emails(spark, f"{folder}/*")
+    assert {r.path: r.text for r in mails.collect()} == {
+        f"file:{folder}/{k}": v for k, v in (("1/doc_id=1", "one"), ("1/doc_id=2", "café "), ("2/a%2Fb", ""), ("2/_k=1", "y"), ("2/k=3/in", "z"), ("top", "t"))
+    }
+    assert not mails.inputFiles()  # no list of files in the driver
+    plain = readers.read_raw_emails(spark, f"file://{folder}/1", "*{=2,9}")
+    assert [(r.path, r.text) for r in plain.collect()] == [(f"file:{folder}/1/doc_id=2", "café ")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_raw_emails(spark, str(tmp_path / "absent"))
