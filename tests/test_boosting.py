@@ -97,3 +97,14 @@ def test_few_jobs_for_many_rounds(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert model.stages[-1].getNumTrees == 25
     assert len(sc.statusTracker().getJobIdsForGroup("boosting")) < 100
+
+
+def test_scores_a_stream(spark, tmp_path):
+    rows = vectors(spark, 300)
+    model = boosting.fit(classifier(maxIter=2, maxDepth=2), rows)
+    rows.write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    scored = model.transform(arriving).select(vector_to_array("probability")[1].alias("p"))
+    scored.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out")).awaitTermination()
+    batch = model.transform(rows).select(vector_to_array("probability")[1].alias("p"))
+    assert sorted(r.p for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(r.p for r in batch.collect())
